@@ -9,7 +9,7 @@ against labels of documents that were not counted.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,8 +23,9 @@ from lorekeep.llm.words import ALNUM, mix, pieces
 #: Labelled documents of each class that are learned from, at most; those with the least hash are taken.
 SAMPLE_ROWS = 10_000
 #: Words and bigrams that the model keeps, at most; the most frequent stay.
-KEPT_WORDS, KEPT_BIGRAMS = 200_000, 200_000
-DISCOUNT = 0.75
+KEPT_WORDS, KEPT_BIGRAMS = 100_000, 100_000
+#: Discounts of the toxic class and length exponents to choose from by the likelihood of calibration labels.
+DISCOUNTS, EXPONENTS = (0.75, 3.0, 10.0, 20.0, 40.0, 100.0), (0.5, 0.75, 1.0)
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,6 +37,7 @@ class Model:
     pairs: np.ndarray  # sorted hashes of bigrams
     bigram: np.ndarray  # (2, m + 1) discounted probabilities, zero in the last column
     scale: tuple[float, float] = (1.0, 0.0)  # logistic slope and intercept
+    exponent: float = 1.0  # the difference of log-likelihoods is divided by the number of words to this power
     known: bool = True
 
     def terms(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -77,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """toxic, part (0: calibration, else counting), text of at most `rows` labelled documents of each class outside the held-out fifth.
 
-    A document with several labels is toxic if one says so; null labels and ids count for nothing.
+    Copies of one text count once. A document with several labels is toxic if one says so; null labels and ids count for nothing.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -85,7 +87,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = [tuple(r) for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(rows).collect()]
     ids = F.broadcast(spark.createDataFrame(picked, "id long, toxic int, part int"))
-    return docs.join(ids, docs["doc_id"] == ids["id"]).select("toxic", "part", docs["text"])
+    taken = docs.join(ids, docs["doc_id"] == ids["id"]).select("toxic", "part", docs["text"])
+    return taken.withColumn("same", F.md5("text")).dropDuplicates(["toxic", "same"]).drop("same")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -101,33 +104,62 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     if not totals[0] or not totals[1]:
         return Model(np.zeros(0, np.uint64), np.full((2, 1), 0.5), np.ones((2, 1)), np.zeros(0, np.uint64), np.zeros((2, 1)), known=False)
     follows = pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("after"))
-    precedes = pairs.groupBy(F.col("a").alias("w")).agg(*[F.sum(f"n{c}").alias(f"h{c}") for c in (0, 1)], *[F.sum(F.least(F.col(f"n{c}"), F.lit(DISCOUNT))).alias(f"d{c}") for c in (0, 1)])
-    n_pairs = pairs.count()
-    kept = words.join(follows, "w", "left").join(precedes, "w", "left").orderBy(F.desc(F.col("n0") + F.col("n1")), "w").limit(KEPT_WORDS).na.fill(0).toPandas()
+    kept = words.join(follows, "w", "left").orderBy(F.desc(F.col("n0") + F.col("n1")), "w").limit(KEPT_WORDS).na.fill(0).toPandas()
     kept = kept.assign(w=kept.w.to_numpy().view(np.uint64)).sort_values("w", ignore_index=True)
-    n, types, kinds = np.array(totals[:2])[:, None], np.array(totals[2:4])[:, None], totals[4]
-    shared = (np.append(kept.after.to_numpy(), 0) + 1.0) / (n_pairs + kinds + 1.0)
-    own = np.vstack([np.append(kept[f"n{c}"], 0) for c in (0, 1)])
-    unigram = (np.maximum(own - DISCOUNT, 0) + DISCOUNT * types * shared) / n
-    freed, heads = (np.vstack([np.append(kept[f"{k}{c}"], 0) for c in (0, 1)]).astype(float) for k in "dh")
     common = pairs.where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(KEPT_BIGRAMS).toPandas()
+    models = [_model(kept, common, np.array(totals[:2]), totals[4], pairs.count(), d) for d in DISCOUNTS]
+    tried = _scored(taken.where("part = 0").select("toxic", "text"), models, "toxic").toPandas()
+    y, best = tried["key"].to_numpy(), (np.inf, models[0])
+    for k, model in enumerate(models):
+        for model.exponent in EXPONENTS:
+            x = np.array([v[k] for v in tried["sums"]]) / np.maximum(tried["words"], 1).to_numpy() ** model.exponent
+            loss, scale = _calibrated(x, y)
+            if loss < best[0]:
+                best = loss, replace(model, scale=scale)
+    return best[1]
+
+
+def _equal_mass(counts: np.ndarray, totals: np.ndarray, discount: float) -> tuple[np.ndarray, float]:
+    """Discounted probabilities of both classes that leave the same mass, and that mass.
+
+    The smaller class has `discount` taken off each count. The other's discount is so large that it leaves
+    as much, so a word that both classes have too seldom says nothing about the class.
+    """
+    few = int(np.argmin(totals))
+    probs = np.empty_like(counts, float)
+    probs[few] = np.maximum(counts[few] - discount, 0) / totals[few]
+    low, high = 0.0, float(counts.max(initial=1))
+    for _ in range(60):
+        mid = (low + high) / 2
+        probs[1 - few] = np.maximum(counts[1 - few] - mid, 0) / totals[1 - few]
+        low, high = (mid, high) if probs[1 - few].sum() > probs[few].sum() else (low, mid)
+    return probs, max(1e-9, 1 - float(probs.sum(1).max()))
+
+
+def _model(kept: pd.DataFrame, common: pd.DataFrame, totals: np.ndarray, kinds: int, n_pairs: int, discount: float) -> Model:
+    """The model of counted words and bigrams under one discount."""
+    shared = (np.append(kept.after.to_numpy(), 0) + 1.0) / (n_pairs + kinds + 1.0)
+    probs, left = _equal_mass(np.vstack([np.append(kept[f"n{c}"], 0) for c in (0, 1)]), totals, discount)
+    unigram = probs + left * shared
     a, b = (common[k].to_numpy().view(np.uint64) for k in "ab")
     at = _find(kept.w.to_numpy(), a)
-    common, a, b, at = common[at < len(kept)], a[at < len(kept)], b[at < len(kept)], at[at < len(kept)]
-    direct = np.maximum(np.vstack([common[f"n{c}"] for c in (0, 1)]) - DISCOUNT, 0) / np.maximum(heads[:, at], 1)
-    backoff = np.ones_like(freed)  # what the kept bigrams of a word leave
-    for c in (0, 1):
-        backoff[c] -= np.bincount(at, direct[c], len(kept) + 1)
-    order = np.argsort(pair_hash(a, b))
-    model = Model(kept.w.to_numpy(), unigram, backoff, pair_hash(a, b)[order], np.hstack([direct[:, order], np.zeros((2, 1))]))
-    tried = _scored(taken.where("part = 0").select("toxic", "text"), model, "toxic").toPandas()
-    return _calibrated(model, tried["mean"].to_numpy(), tried["key"].to_numpy())
-
-
-def _calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """The logistic slope and intercept by Newton's method; with one class only, they stay as they are."""
+    inside = at < len(kept)
+    common, a, b, at = common[inside], a[inside], b[inside], at[inside]
+    heads = np.vstack([np.append(kept[f"n{c}"], 1) for c in (0, 1)])[:, at]
+    direct = np.maximum(np.vstack([common[f"n{c}"] for c in (0, 1)]) - discount * np.maximum(totals / totals.min(), 1)[:, None], 0) / np.maximum(heads, 1)
+    given = np.vstack([np.bincount(at, direct[c], len(kept) + 1) for c in (0, 1)])
+    least = given.min(0)  # a word's bigrams have the same mass in both classes too
+    direct *= (least / np.maximum(given, 1e-12))[:, at]
+    backoff = np.vstack([np.maximum(1 - least, 1e-9)] * 2)
+    keys = pair_hash(a, b)
+    order = np.argsort(keys)
+    return Model(kept.w.to_numpy(), unigram, backoff, keys[order], np.hstack([direct[:, order], np.zeros((2, 1))]))
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]]:
+    """The loss, and the logistic slope and intercept by Newton's method; with one class only, a flat fit."""
     if len(np.unique(y)) < 2:
-        return model
+        return 0.0, (1.0, 0.0)
     spread = x.std() or 1.0
     z = np.column_stack([x / spread, np.ones(len(x))])
     w = np.zeros(2)
@@ -137,27 +169,30 @@ def _calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    model.scale = (float(w[0] / spread), float(w[1]))
-    return model
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), (float(w[0] / spread), float(w[1]))
 
 
-def _scored(docs: DataFrame, model: Model, key: str) -> DataFrame:
-    """key, mean: each row's mean difference of log-likelihoods per word, 0 without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most KEPT_WORDS and KEPT_BIGRAMS entries
+def _scored(docs: DataFrame, models: list[Model], key: str) -> DataFrame:
+    """key, sums, words: each row's difference of log-likelihoods under each model, and its number of words."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most KEPT_WORDS and KEPT_BIGRAMS entries each
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        models = shared.value
         for batch in batches:
-            sums, words = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            n = batch.num_rows
+            sums, words = np.zeros((n, len(models))), np.zeros(n)
             for piece in pieces(batch.column(1), ALNUM):
                 if len(piece.row):
-                    first = np.append(True, piece.row[1:] != piece.row[:-1])
+                    first, h = np.append(True, piece.row[1:] != piece.row[:-1]), piece.hashes()
                     row = piece.first + piece.row
-                    sums += np.bincount(row, model.terms(piece.hashes(), first), batch.num_rows)
-                    words += np.bincount(row, minlength=batch.num_rows)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(sums / np.maximum(words, 1))], names=["key", "mean"])
+                    for k, model in enumerate(models):
+                        sums[:, k] += np.bincount(row, model.terms(h, first), n)
+                    words += np.bincount(row, minlength=n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(models), pa.int32()), pa.array(sums.ravel()))
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), lists, pa.array(words)], names=["key", "sums", "words"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(score, "key long, mean double")
+    return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(score, "key long, sums array<double>, words double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,6 +202,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     prepare(docs.sparkSession)
     slope, intercept = model.scale
-    p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("mean") + F.lit(intercept)))) if model.known else F.lit(0.0)
-    scored = _scored(docs, model, "doc_id").select(F.col("key").alias("doc_id"), p.alias("score"))
+    p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("sums")[0] / F.pow(F.greatest("words", F.lit(1.0)), F.lit(model.exponent)) + F.lit(intercept)))) if model.known else F.lit(0.0)
+    scored = _scored(docs, [model], "doc_id").select(F.col("key").alias("doc_id"), p.alias("score"))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
