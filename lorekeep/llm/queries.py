@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import feistel, jaccard, mixing, packing, tokenfiles, toxicity
+from lorekeep.llm import feistel, jaccard, mixing, packing, tokenfiles, toxicity, warc
 from lorekeep.tables import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target rate gives, in global random order."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.EQUAL)
@@ -35,6 +39,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_poisson_mixing, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files)}
 #: Tokenizers, trained models, keyed permutations and binary files are beyond SQL; the tests hold them against plain versions.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p LEFT JOIN k ON p.h = k.h""",
+}
