@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import caps, feistel, jaccard, mixing, packing, tokenfiles, toxicity, vamana, warc
+from lorekeep.llm import caps, crf, feistel, jaccard, mixing, packing, tokenfiles, toxicity, vamana, warc
 from lorekeep.tables import table
 
 
@@ -22,6 +22,11 @@ def op3_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf.identify(docs, crf.fit(docs))
+
+
 def op5_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_copies(table(spark, sf_dir, "embeddings"), limit=0.93)
 
@@ -47,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op3_pruned_graph, op5_spherical_caps, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op3_pruned_graph, op4_language_crf, op5_spherical_caps, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files)}
 #: Tokenizers, trained models, keyed permutations and binary files are beyond SQL; the tests hold them against plain versions.
 ORACLES: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
