@@ -62,9 +62,9 @@ def session_gaps(spark, d):
     return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
 
 
-@query("SELECT o.o_orderkey, l.l_linenumber, l.l_partkey FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS l_linenumber, arg_max(l_partkey, l_linenumber) AS l_partkey FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey")
+@query("SELECT o.o_orderkey, l.l_linenumber, l.l_partkey FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS l_linenumber, arg_max(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey")
 def call_result_last_wins(spark, d):
-    last = timed.latest(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber"])
+    last = timed.latest(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
     calls = table(spark, d, "orders").select("o_orderkey")
     return calls.join(last, calls.o_orderkey == last.l_orderkey, "left").select("o_orderkey", "l_linenumber", "l_partkey")
 
