@@ -55,7 +55,8 @@ class ShardWriter:
 
     def _flush(self, last: bool) -> None:
         flat = np.concatenate(self.pending) if self.pending else np.zeros(0, self.dtype)
-        full = len(flat) // self.sequence * self.sequence
+        unit = self.sequence if last else self.size  # every batch but the last is whole, so that a place tells its batch
+        full = len(flat) // unit * unit
         for a in range(0, full, self.size):
             self._batch(flat[a : min(a + self.size, full)], None)
         rest = flat[full:].copy()
@@ -162,7 +163,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     for shard, path, n in shards:
         rows.append((shard, path, base))
         base += n
-    spread = spark.sparkContext.parallelize(rows, len(rows)).toDF("shard int, path string, base long")
+    spread = spark.createDataFrame(rows, "shard int, path string, base long").repartition(len(rows))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -118,6 +118,22 @@ def test_chunks_and_lengths():
         warc.unframe(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab\r\n")
 
 
+def test_ids_are_those_of_the_library(spark):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from lorekeep.llm.tokens import encoder, vocabulary_path
+
+    whole = Tokenizer.from_file(vocabulary_path())
+    whole.encode_special_tokens = True
+    parts = [*"ab cZ' \n\t.,!19", "\x1c", "\x85", "\xa0", "\u3000", "é", "ß", "漢", "²", "'ll", "<|endoftext|>", "😀", "\u0301", "\x00", "\r\n"]
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 30)))
+        assert np.frombuffer(encoder()(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_give_every_id_back(spark):
     import zlib
 
@@ -129,3 +145,19 @@ def test_token_files_give_every_id_back(spark):
         ids = encoder()(text) + b"\0\0\0\0"
         assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
+
+
+def test_shards_of_many_batches_are_read_at_any_place(tmp_path):
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 50_000, n).astype("<u4") for n in rng.integers(1, 90, 200)]
+    writer = tokenfiles.ShardWriter(f"file://{tmp_path}/s", sequence=8, rows=4)
+    for k, ids in enumerate(docs):
+        writer.add(k, ids)
+    writer.close()
+    shard, flat = tokenfiles.Shard(f"file://{tmp_path}/s"), np.concatenate(docs)
+    for entries in shard.documents():
+        for k, start, n in zip(*(c.to_pylist() for c in entries.columns)):
+            assert (shard.ids(start, n) == docs[k]).all()
+    for k in range(len(flat) // 8):
+        ids, mask = shard.sequence(k)
+        assert (ids == flat[8 * k : 8 * k + 8]).all() and mask.all()
