@@ -55,23 +55,16 @@ class ShardWriter:
 
     def _flush(self, last: bool) -> None:
         flat = np.concatenate(self.pending) if self.pending else np.zeros(0, self.dtype)
-        unit = self.sequence if last else self.size  # every batch but the last is whole, so that a place tells its batch
-        full = len(flat) // unit * unit
-        for a in range(0, full, self.size):
-            self._batch(flat[a : min(a + self.size, full)], None)
-        rest = flat[full:].copy()
-        if last and len(rest):
-            padded = np.zeros(self.sequence, self.dtype)
-            padded[: len(rest)] = rest
-            self._batch(padded, len(rest))
-            rest = rest[:0]
-        self.pending, self.held = [rest], len(rest)
-
-    def _batch(self, ids: np.ndarray, real: int | None) -> None:
-        mask = np.ones(len(ids), bool)
-        if real is not None:
-            mask[real:] = False
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
+        if last:  # the last row is padded within the last batch
+            real, flat = len(flat), np.append(flat, np.zeros(-len(flat) % self.sequence, self.dtype))
+        else:  # every batch before is whole, so that a place tells its batch
+            real = len(flat) // self.size * self.size
+        for a in range(0, real, self.size):
+            self._batch(flat[a : a + self.size], min(self.size, real - a))
+        self.pending, self.held = [flat[real:].copy()], len(flat) - real
+
+    def _batch(self, ids: np.ndarray, real: int) -> None:
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, np.arange(len(ids)) < real)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def _flush_index(self) -> None:
@@ -114,6 +107,8 @@ class Shard:
         while n:
             k, a = divmod(start, size)
             part = self._flat(k)[a : a + n]
+            if not len(part):
+                raise ValueError("the shard ends before the document does")
             parts.append(part)
             start, n = start + len(part), n - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)

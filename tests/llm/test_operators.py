@@ -147,8 +147,9 @@ def test_token_files_give_every_id_back(spark):
         start += len(ids) // 4
 
 
-def test_shards_of_many_batches_are_read_at_any_place(tmp_path):
-    rng = np.random.default_rng(8)
+@pytest.mark.parametrize("seed", range(9))
+def test_shards_of_many_batches_are_read_at_any_place(tmp_path, seed):
+    rng = np.random.default_rng(seed)
     docs = [rng.integers(0, 50_000, n).astype("<u4") for n in rng.integers(1, 90, 200)]
     writer = tokenfiles.ShardWriter(f"file://{tmp_path}/s", sequence=8, rows=4)
     for k, ids in enumerate(docs):
