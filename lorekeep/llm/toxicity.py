@@ -1,13 +1,16 @@
 """Toxicity by two Kneser-Ney bigram models, one of toxic and one of ordinary text.
 
 Words are counted on the executors over a bounded sample of labelled documents. Both classes discount their
-counts and fall back from bigrams to words to one shared distribution: how many different words each word
-follows in either class. A document's score comes from the difference of both log-likelihoods per word, set
-against labels of documents that were not counted.
+counts and fall back from bigrams to words, from words to their first letters, and from there to one shared
+distribution: how many different words a word follows, and how many words begin with these letters, in either
+class. So inflected and compound forms that were never counted share what their beginnings tell. A document's
+score comes from the length-normalised difference of both log-likelihoods, set against labels of documents
+that were not counted; words that the classes use almost equally often may be left out of it (`MARGINS`).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -24,31 +27,38 @@ from lorekeep.llm.words import ALNUM, mix, pieces
 SAMPLE_ROWS = 10_000
 #: Words and bigrams that the model keeps, at most; the most frequent stay.
 KEPT_WORDS, KEPT_BIGRAMS = 100_000, 100_000
-#: Discounts of the toxic class and length exponents to choose from by the likelihood of calibration labels.
-DISCOUNTS, EXPONENTS = (0.75, 3.0, 10.0, 20.0, 40.0, 100.0), (0.5, 0.75, 1.0)
+#: Characters of a word's beginning.
+HEAD = 4
+#: Discounts of the toxic class, length exponents, and least differences of a word's log-probabilities to choose from by the likelihood of calibration labels.
+DISCOUNTS, EXPONENTS, MARGINS = (0.75, 5.0, 20.0, 40.0, 100.0, 300.0), (0.5, 0.75, 1.0), (0.0, 1.0, 2.0, 3.0)
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Model:
     words: np.ndarray  # sorted hashes
-    unigram: np.ndarray  # (2, n + 1) probabilities; the last column is any other word's
+    unigram: np.ndarray  # (2, n + 1) discounted probabilities, zero in the last column, which is any other word's
+    rest: np.ndarray  # (n + 1) what the word's beginning shares out to it
+    heads: np.ndarray  # sorted hashes of beginnings
+    head: np.ndarray  # (2, k + 1) probabilities of beginnings over their shared ones, one in the last column
     backoff: np.ndarray  # (2, n + 1) mass that a preceding word leaves to the word's own probability
     pairs: np.ndarray  # sorted hashes of bigrams
     bigram: np.ndarray  # (2, m + 1) discounted probabilities, zero in the last column
     scale: tuple[float, float] = (1.0, 0.0)  # logistic slope and intercept
     exponent: float = 1.0  # the difference of log-likelihoods is divided by the number of words to this power
+    margin: float = 0.0
     known: bool = True
 
-    def terms(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log P(toxic model) - log P(ordinary model) of each word; `first`: no word precedes."""
+    def terms(self, word: np.ndarray, head: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """log P(toxic model) - log P(ordinary model) of each word; `head`: its beginning, `first`: no word precedes."""
         at = _find(self.words, word)
         before = np.concatenate([word[:1], word[:-1]])
         pair = _find(self.pairs, pair_hash(before, word))
-        before = np.concatenate([at[:1], at[:-1]])
-        direct, left = self.bigram[:, pair], self.backoff[:, before]
+        previous = np.concatenate([at[:1], at[:-1]])
+        direct, left = self.bigram[:, pair], self.backoff[:, previous]
         direct[:, first], left[:, first] = 0.0, 1.0
-        p = np.log(direct + left * self.unigram[:, at])
+        own = self.unigram[:, at] + self.rest[at] * self.head[:, _find(self.heads, head)]
+        p = np.log(direct + left * own)
         return p[1] - p[0]
 
 
@@ -68,10 +78,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(0).to_numpy().astype(np.int64)
         for piece in pieces(batch.column(1), ALNUM):
-            h = piece.hashes()
+            h, heads = piece.hashes(), piece.hashes(piece.heads(HEAD))
             cls = toxic[piece.first + piece.row]
             inner = np.flatnonzero(piece.row[1:] == piece.row[:-1]) + 1
-            frame = pd.DataFrame({"toxic": np.concatenate([cls, cls[inner]]), "a": np.concatenate([np.zeros(len(h), np.int64), h[inner - 1].view(np.int64)]), "b": np.concatenate([h.view(np.int64), h[inner].view(np.int64)]), "pair": np.concatenate([np.zeros(len(h), bool), np.ones(len(inner), bool)])})
+            frame = pd.DataFrame({"toxic": np.concatenate([cls, cls[inner]]), "a": np.concatenate([heads.view(np.int64), h[inner - 1].view(np.int64)]), "b": np.concatenate([h.view(np.int64), h[inner].view(np.int64)]), "pair": np.concatenate([np.zeros(len(h), bool), np.ones(len(inner), bool)])})
             counts = frame.groupby(["toxic", "a", "b", "pair"], sort=False).size().rename("n").reset_index()
             yield pa.RecordBatch.from_pandas(counts, preserve_index=False)
 
@@ -99,23 +109,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     counts = taken.where("part > 0").select("toxic", "text").mapInArrow(_count, "toxic long, a long, b long, pair boolean, n long")
     grams = counts.groupBy("pair", "a", "b").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)])
     grams = written(grams, "toxicity-grams")
-    pairs, words = grams.where("pair"), grams.where("not pair").select(F.col("b").alias("w"), "n0", "n1")
+    pairs, words = grams.where("pair"), grams.where("not pair").select(F.col("b").alias("w"), F.col("a").alias("head"), "n0", "n1")
     totals = grams.where("not pair").agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)).cast("double") for c in (0, 1)], *[F.count(F.when(F.col(f"n{c}") > 0, 1)).cast("double") for c in (0, 1)], F.count("*")).first()
     if not totals[0] or not totals[1]:
-        return Model(np.zeros(0, np.uint64), np.full((2, 1), 0.5), np.ones((2, 1)), np.zeros(0, np.uint64), np.zeros((2, 1)), known=False)
+        none = np.zeros(0, np.uint64)
+        return Model(none, np.zeros((2, 1)), np.ones(1), none, np.ones((2, 1)), np.ones((2, 1)), none, np.zeros((2, 1)), known=False)
     follows = pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("after"))
     kept = words.join(follows, "w", "left").orderBy(F.desc(F.col("n0") + F.col("n1")), "w").limit(KEPT_WORDS).na.fill(0).toPandas()
     kept = kept.assign(w=kept.w.to_numpy().view(np.uint64)).sort_values("w", ignore_index=True)
+    heads = words.groupBy("head").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("after"))
+    heads = heads.orderBy(F.desc(F.col("n0") + F.col("n1")), "head").limit(KEPT_WORDS).toPandas()
+    heads = heads.assign(head=heads["head"].to_numpy().view(np.uint64)).sort_values("head", ignore_index=True)
     common = pairs.where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(KEPT_BIGRAMS).toPandas()
-    models = [_model(kept, common, np.array(totals[:2]), totals[4], pairs.count(), d) for d in DISCOUNTS]
-    tried = _scored(taken.where("part = 0").select("toxic", "text"), models, "toxic").toPandas()
+    n_pairs = pairs.count()
+    models = [_model(kept, heads, common, np.array(totals[:2]), totals[4], n_pairs, d) for d in DISCOUNTS]
+    tried = _scored(taken.where("part = 0").select("toxic", "text"), models, "toxic", MARGINS).toPandas()
     y, best = tried["key"].to_numpy(), (np.inf, models[0])
-    for k, model in enumerate(models):
-        for model.exponent in EXPONENTS:
-            x = np.array([v[k] for v in tried["sums"]]) / np.maximum(tried["words"], 1).to_numpy() ** model.exponent
-            loss, scale = _calibrated(x, y)
+    for k, (model, margin) in enumerate(itertools.product(models, MARGINS)):
+        sums = np.array([v[k] for v in tried["sums"]])
+        for exponent in EXPONENTS:
+            loss, scale = _calibrated(sums / np.maximum(tried["words"], 1).to_numpy() ** exponent, y)
             if loss < best[0]:
-                best = loss, replace(model, scale=scale)
+                best = loss, replace(model, scale=scale, exponent=exponent, margin=margin)
     return best[1]
 
 
@@ -136,24 +151,26 @@ def _equal_mass(counts: np.ndarray, totals: np.ndarray, discount: float) -> tupl
     return probs, max(1e-9, 1 - float(probs.sum(1).max()))
 
 
-def _model(kept: pd.DataFrame, common: pd.DataFrame, totals: np.ndarray, kinds: int, n_pairs: int, discount: float) -> Model:
-    """The model of counted words and bigrams under one discount."""
+def _model(kept: pd.DataFrame, heads: pd.DataFrame, common: pd.DataFrame, totals: np.ndarray, kinds: int, n_pairs: int, discount: float) -> Model:
+    """The model of counted words, beginnings and bigrams under one discount."""
     shared = (np.append(kept.after.to_numpy(), 0) + 1.0) / (n_pairs + kinds + 1.0)
     probs, left = _equal_mass(np.vstack([np.append(kept[f"n{c}"], 0) for c in (0, 1)]), totals, discount)
-    unigram = probs + left * shared
+    begin, begin_left = _equal_mass(np.vstack([np.append(heads[f"n{c}"], 0) for c in (0, 1)]), totals, discount)
+    begin_shared = (np.append(heads.after.to_numpy(), 0) + 1.0) / (kinds + len(heads) + 1.0)
+    head = begin / begin_shared + begin_left
     a, b = (common[k].to_numpy().view(np.uint64) for k in "ab")
     at = _find(kept.w.to_numpy(), a)
     inside = at < len(kept)
     common, a, b, at = common[inside], a[inside], b[inside], at[inside]
-    heads = np.vstack([np.append(kept[f"n{c}"], 1) for c in (0, 1)])[:, at]
-    direct = np.maximum(np.vstack([common[f"n{c}"] for c in (0, 1)]) - discount * np.maximum(totals / totals.min(), 1)[:, None], 0) / np.maximum(heads, 1)
+    preceding = np.vstack([np.append(kept[f"n{c}"], 1) for c in (0, 1)])[:, at]
+    direct = np.maximum(np.vstack([common[f"n{c}"] for c in (0, 1)]) - discount * np.maximum(totals / totals.min(), 1)[:, None], 0) / np.maximum(preceding, 1)
     given = np.vstack([np.bincount(at, direct[c], len(kept) + 1) for c in (0, 1)])
     least = given.min(0)  # a word's bigrams have the same mass in both classes too
     direct *= (least / np.maximum(given, 1e-12))[:, at]
     backoff = np.vstack([np.maximum(1 - least, 1e-9)] * 2)
     keys = pair_hash(a, b)
     order = np.argsort(keys)
-    return Model(kept.w.to_numpy(), unigram, backoff, keys[order], np.hstack([direct[:, order], np.zeros((2, 1))]))
+    return Model(kept.w.to_numpy(), probs, left * shared, heads["head"].to_numpy(), head, backoff, keys[order], np.hstack([direct[:, order], np.zeros((2, 1))]))
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]]:
@@ -173,23 +190,26 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float
     return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), (float(w[0] / spread), float(w[1]))
 
 
-def _scored(docs: DataFrame, models: list[Model], key: str) -> DataFrame:
-    """key, sums, words: each row's difference of log-likelihoods under each model, and its number of words."""
+def _scored(docs: DataFrame, models: list[Model], key: str, margins: tuple[float, ...] | None = None) -> DataFrame:
+    """key, sums, words: each row's difference of log-likelihoods under each model and margin, and its number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # at most KEPT_WORDS and KEPT_BIGRAMS entries each
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         for batch in batches:
-            n = batch.num_rows
-            sums, words = np.zeros((n, len(models))), np.zeros(n)
+            n, width = batch.num_rows, len(models) * len(margins or [0])
+            sums, words = np.zeros((n, width)), np.zeros(n)
             for piece in pieces(batch.column(1), ALNUM):
                 if len(piece.row):
-                    first, h = np.append(True, piece.row[1:] != piece.row[:-1]), piece.hashes()
-                    row = piece.first + piece.row
-                    for k, model in enumerate(models):
-                        sums[:, k] += np.bincount(row, model.terms(h, first), n)
+                    first, h, head = np.append(True, piece.row[1:] != piece.row[:-1]), piece.hashes(), piece.hashes(piece.heads(HEAD))
+                    row, k = piece.first + piece.row, 0
+                    for model in models:
+                        terms = model.terms(h, head, first)
+                        for margin in margins or [model.margin]:
+                            sums[:, k] += np.bincount(row, np.where(np.abs(terms) >= margin, terms, 0.0), n)
+                            k += 1
                     words += np.bincount(row, minlength=n)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(models), pa.int32()), pa.array(sums.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(sums.ravel()))
             yield pa.record_batch([batch.column(0).cast(pa.int64()), lists, pa.array(words)], names=["key", "sums", "words"])
 
     return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(score, "key long, sums array<double>, words double")

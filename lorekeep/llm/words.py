@@ -65,14 +65,20 @@ class Piece:
     def word(self, w: int) -> bytes:
         return self.buf[self.start[w] : self.end[w]].tobytes()
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word with ASCII letters in lower case."""
-        n = len(self.buf)
+    def heads(self, chars: int) -> np.ndarray:
+        """Where the first `chars` characters of each word end, or the word itself if it is shorter."""
+        begins = np.flatnonzero((self.buf & 0xC0) != 0x80)
+        at = np.searchsorted(begins, self.start) + chars
+        return np.minimum(self.end, np.append(begins, len(self.buf))[np.minimum(at, len(begins))])
+
+    def hashes(self, end: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its bytes before `end`, with ASCII letters in lower case."""
+        n, to = len(self.buf), self.end if end is None else end
         power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[_LOWER[self.buf]] * power[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        h = (sums[to] - sums[self.start]) * inverse[self.start]
+        return mix(h + (to - self.start).astype(np.uint64))
 
 
 def _cut(buf: np.ndarray, inside: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
