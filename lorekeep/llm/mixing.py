@@ -7,6 +7,8 @@ key and the seed give, so it is the same in every run and needs no state. Copies
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 EQUAL: dict[str, float] = {}
 #: Sources up to this count are broadcast with their rates; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
-#: No rate is above this, so that a document's copies stay bounded; the share of a tiny source falls short instead.
-MAX_RATE = 16.0
+#: Copies that one task makes of a row at once; rows whose rate is above this are dealt to tasks by parts of so many copies.
+PART = 4096
+#: Rates up to this start at no copies, where exp(-rate) does not underflow.
+FROM_ZERO = 400.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -24,15 +28,26 @@ def uniform(*parts: Column) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def poisson(rate: Column, u: Column, most: int = 80) -> Column:
-    """The least k whose cumulative probability reaches u, by summing terms (at most `most`; the rates are at most MAX_RATE)."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
+def poisson(rate: Column, u: Column) -> Column:
+    """The least k whose cumulative probability reaches u, by summing terms.
+
+    Terms more than nine standard deviations from the rate are together below any u and are left out, so a row
+    takes about 18 * sqrt(rate) steps: far fewer than its copies. The first term of a large rate comes from
+    Stirling's series in the form that loses no digits.
+    """
+    wide = 9 * F.sqrt(rate)
+    k = F.when(rate <= FROM_ZERO, F.lit(0.0)).otherwise(F.floor(rate - wide).cast("double"))
+    ratio = (rate - k) / k
+    stirling = -k * (ratio - F.log1p(ratio)) - 1 / (12 * k) + 1 / (360 * k * k * k)
+    p = F.when(rate <= FROM_ZERO, F.exp(-rate)).otherwise(F.exp(stirling) / F.sqrt(2 * F.lit(math.pi) * k))
+    start = F.struct(k.cast("long").alias("k"), p.alias("p"), p.alias("cdf"))
 
     def step(s: Column, i: Column) -> Column:
         p = s.p * rate / i
-        return F.when(s.cdf >= u, s).otherwise(F.struct(i.alias("k"), p.alias("p"), (s.cdf + p).alias("cdf")))
+        done = (s.cdf >= u) | ((i > rate) & (s.cdf + p == s.cdf))  # u may be above the rounded sum of all terms
+        return F.when(done, s).otherwise(F.struct(i.alias("k"), p.alias("p"), (s.cdf + p).alias("cdf")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s.k)
+    return F.aggregate(F.sequence(k.cast("long") + 1, F.ceil(rate + wide).cast("long") + 40), start, step, lambda s: s.k)
 
 
 def rates(docs: DataFrame, weights: dict[str, float], size: float | None = None) -> DataFrame:
@@ -47,22 +62,34 @@ def rates(docs: DataFrame, weights: dict[str, float], size: float | None = None)
     counts = counts.withColumn("given", given)
     total = counts.agg(F.sum("rows").alias("total"), F.sum("given").alias("weight"), F.sum(F.col("given").isNull().cast("int")).alias("free"))
     share = F.coalesce(F.col("given"), F.greatest(F.lit(0.0), 1 - F.coalesce("weight", F.lit(0.0))) / F.col("free"))
-    return counts.crossJoin(F.broadcast(total)).select("of", "rows", F.least(share * (F.lit(size) if size else F.col("total")) / F.col("rows"), F.lit(MAX_RATE)).alias("rate"))
+    return counts.crossJoin(F.broadcast(total)).select("of", "rows", (share * (F.lit(size) if size else F.col("total")) / F.col("rows")).alias("rate"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float], size: float | None = None, seed: int = 0) -> DataFrame:
     """The columns of docs and `copy` (from 0): each row as often as its Poisson number says, maybe never.
 
-    Rows with equal doc_id and text get the same number. Empty tables give no rows.
+    Rows with equal doc_id and text get the same number. Empty tables give no rows. Rows of sources with rates
+    above PART, of which there are few for the copies they make, have their copies made by many tasks.
     """
     spark = docs.sparkSession
     found = rates(docs, weights, size)
     rows = found.limit(BROADCAST_SOURCES + 1).collect()
-    if len(rows) <= BROADCAST_SOURCES:
-        found = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], found.schema))
+    few = len(rows) <= BROADCAST_SOURCES
+    if few:
+        found = spark.createDataFrame([tuple(r) for r in rows], found.schema)
+    large = any(r.rate > PART for r in rows) if few else not found.where(F.col("rate") > PART).isEmpty()
     n = poisson(F.col("rate"), uniform(F.lit(seed), F.col("doc_id")))
-    joined = docs.join(found, docs["source"].eqNullSafe(found["of"])).withColumn("copies", n).where("copies > 0")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+
+    def parts(which: DataFrame) -> DataFrame:
+        joined = docs.join(F.broadcast(which) if few else which, docs["source"].eqNullSafe(which["of"])).withColumn("_copies", n).where("_copies > 0")
+        return joined.select(*[docs[c] for c in docs.columns], "_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(PART).cast("long"))).alias("_from"))
+
+    made = parts(found.where(F.col("rate") <= PART) if large else found)
+    if large:
+        dealt = parts(found.where(F.col("rate") > PART)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_from")
+        made = made.unionByName(dealt)
+    last = F.least(F.col("_copies"), F.col("_from") + PART) - 1
+    return made.select(*docs.columns, F.explode(F.sequence("_from", last)).alias("copy"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], size: float | None = None, seed: int = 0) -> DataFrame:
