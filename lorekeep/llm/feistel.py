@@ -29,10 +29,14 @@ VALUE = re.compile(
     r"|(?P<date>(?<![\w-])\d{4}-\d\d-\d\d(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w))",
+    r"|(?P<phone>(?<![\w])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))",
     re.ASCII,
 )
+#: Digits with single separators, in which cards are looked for, and the groups between the separators.
+RUN = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,}(?!\w)", re.ASCII)
+GROUP = re.compile(r"\d+", re.ASCII)
+#: Beginnings and lengths of common cards. They only decide between overlapping numbers that all pass the check digit.
+ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|(?:35|6\d)\d{14}(?:\d{3})?", re.ASCII)
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -119,15 +123,50 @@ def _phone(text: str, key: bytes) -> str:
     return _refill(text, head + f"{permute(int(tail), 10**7, key, 'phone|' + head):07d}")
 
 
+def _is_card(digits: str) -> bool:
+    return check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
 def _card(text: str, key: bytes) -> str | None:
     digits = _digits(text)
     body = digits[:-1]
-    if check_digit(body) != digits[-1] or len(set(digits)) == 1:
+    if not _is_card(digits):
         return None
     new = f"{permute(int(body[1:]), 10 ** (len(body) - 1), key, 'card|' + body[0]):0{len(body) - 1}d}"
     return _refill(text, body[0] + new + check_digit(body[0] + new))
 
 
+def cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Places of the cards in a run of digits with single separators.
+
+    The run itself if it passes the check digit, else parts of 13 to 19 digits that pass it and begin and end at
+    separators: of those that overlap, the ones that make most digits of common cards, then most digits.
+    """
+    if len(whole := _digits(text[start:end])) <= 19 and _is_card(whole):
+        return [(start, end)]
+    groups = [m.span() for m in GROUP.finditer(text, start, end)]
+    best: list[tuple[tuple[int, int], int | None]] = [((0, 0), None)]  # up to each group: digits won, and where the card that ends there begins
+    for j, (_, last) in enumerate(groups):
+        most, digits = (best[j][0], None), ""
+        for i in range(j, -1, -1):
+            digits = text[slice(*groups[i])] + digits
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and _is_card(digits):
+                won = best[i][0]
+                won = (won[0] + (len(digits) if ISSUED.fullmatch(digits) else 0), won[1] + len(digits))
+                if won > most[0]:
+                    most = won, i
+        best.append(most)
+    found, j = [], len(groups)
+    while j:
+        i = best[j][1]
+        if i is not None:
+            found.append((groups[i][0], groups[j - 1][1]))
+        j = j - 1 if i is None else i
+    return found[::-1]
+
+
 KINDS: dict[str, Callable[[str, bytes], str | None]] = {"mail": _mail, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
@@ -135,25 +174,43 @@ class Pseudonyms:
     """Replaces values in texts; remembers a bounded number of them."""
 
     def __init__(self, key: bytes):
-        self.key, self.known, self.n = key, {}, 0
+        self.key, self.known = key, {}
 
-    def _value(self, match: re.Match) -> str:
-        text = match[0]
-        if text not in self.known:
+    def _value(self, kind: str, text: str) -> str | None:
+        if (kind, text) not in self.known:
             if len(self.known) >= KNOWN:
                 self.known.clear()
-            self.known[text] = KINDS[match.lastgroup](text, self.key)
-        new = self.known[text]
-        if new is None:  # not valid, so left as it is
-            return text
-        self.n += 1
-        return new
+            self.known[kind, text] = KINDS[kind](text, self.key)
+        return self.known[kind, text]
+
+    def _places(self, text: str) -> list[tuple[int, int, str]]:
+        """Where valid values are, and what replaces them, in order."""
+        found = []
+        for m in VALUE.finditer(text):
+            if (new := self._value(m.lastgroup, m[0])) is not None:  # values that are not valid are left as they are
+                found.append((*m.span(), new))
+        for low, high in _gaps(found, len(text)):
+            for m in RUN.finditer(text, low, high):
+                found += [(a, b, self._value("card", text[a:b])) for a, b in cards(text, *m.span())]
+        return sorted(found)
 
     def __call__(self, text: str | None) -> tuple[str | None, int]:
         if not text:
             return text, 0
-        self.n = 0
-        return VALUE.sub(self._value, text), self.n
+        found, parts, at = self._places(text), [], 0
+        for a, b, new in found:
+            parts += [text[at:a], new]
+            at = b
+        return "".join([*parts, text[at:]]), len(found)
+
+
+def _gaps(found: list[tuple[int, int, str]], size: int) -> list[tuple[int, int]]:
+    """The places between those found."""
+    at, gaps = 0, []
+    for a, b, _ in found:
+        gaps.append((at, a))
+        at = b
+    return [*gaps, (at, size)]
 
 
 def pseudonymise(docs: DataFrame, key: bytes | None = None, column: str = "text") -> DataFrame:

@@ -1,8 +1,11 @@
 """Cases that once got less than the whole job."""
 
 import math
+import re
 
-from lorekeep.llm import mixing
+import pytest
+
+from lorekeep.llm import feistel, mixing
 
 
 def test_poisson_inverts_at_any_rate(spark):
@@ -31,3 +34,21 @@ def test_tiny_sources_meet_their_share(spark):
     got = {r["source"]: (r["n"], r["kinds"]) for r in mixing.replicate(docs, {}).groupBy("source").agg({"*": "count"}).withColumnRenamed("count(1)", "n").join(
         mixing.replicate(docs, {}).distinct().groupBy("source").count().withColumnRenamed("count", "kinds"), "source").collect()}
     assert all(abs(n - 20_000) < 700 and n == kinds for n, kinds in got.values()) and len(got) == 3
+
+
+@pytest.mark.parametrize("card", ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "3782 822463 10005"])
+@pytest.mark.parametrize("around", ["{} 123", "12 {}", "5 {}", "12 {} 123", "7 8 {} 12/27", "1 22 333 4444 {} 55555", "tel 555-123-4567 {}", "{} 10.0.0.1", "123 {} 4012888888881881"])
+def test_cards_beside_other_numbers(card, around):
+    swap = feistel.Pseudonyms(b"k")
+    new, n = swap(around.format(card))
+    assert re.sub(r"\D", "", card) not in re.sub(r"\D", "", new) and n >= 1
+    assert re.sub(r"\d+", "9", new) == re.sub(r"\d+", "9", around.format(card))
+
+
+def test_runs_that_are_no_card_hide_nothing():
+    swap = feistel.Pseudonyms(b"k")
+    for value in ("555-123-4567", "078-05-1120", "2024-02-29"):
+        new, n = swap(f"123 {value} 77")
+        assert n == 1 and new == f"123 {swap(value)[0]} 77"
+    assert swap("4111 1111 1111 1112") == ("4111 1111 1111 1112", 0)
+    assert swap("4111 1111 1111 1111 123")[0][:19] == swap("4111 1111 1111 1111")[0]
