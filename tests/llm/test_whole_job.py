@@ -52,3 +52,30 @@ def test_runs_that_are_no_card_hide_nothing():
         assert n == 1 and new == f"123 {swap(value)[0]} 77"
     assert swap("4111 1111 1111 1112") == ("4111 1111 1111 1112", 0)
     assert swap("4111 1111 1111 1111 123")[0][:19] == swap("4111 1111 1111 1111")[0]
+
+
+@pytest.mark.parametrize("value", ["2024-02-29", "29/02/2024", "29.02.2024", "29-02-2024", "02/29/2024", "2024/02/29", "1.2.2020", "20240229", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "0033 1 23 45 67 89", "01 23 45 67 89", "+49 30 12345678", "030 12345678", "(030) 123456-78", "0151/23456789", "+34 612 345 678", "612 345 678", "91 234 56 78", "+1 (743) 555-3824", "+44 20 7946 0958", "réé.50@mail8.example.com", "Ωμέγα@mail8.example.com", "re\u0301.50@mail8.example.com"])
+def test_formats_of_four_languages(value):
+    swap = feistel.Pseudonyms(b"k")
+    new, n = swap(f"am {value}, x")
+    assert n == 1 and new != f"am {value}, x"
+    assert [c for c in new if not c.isalnum()] == [c for c in f"am {value}, x" if not c.isalnum()] and len(new) == len(f"am {value}, x")
+    assert swap(new)[1] == 1  # valid again
+
+
+def test_dates_that_do_not_exist_and_times_stay():
+    swap = feistel.Pseudonyms(b"k")
+    for value in ("30/02/2024", "31.04.2023", "20230229", "2024-13-01", "00/10/2024", "01.01.1850", "4559894937", "812088970", "90433955"):
+        assert swap(f"on {value}.") == (f"on {value}.", 0)
+    new, n = swap("2024-02-29T10:00:00Z and 20240229T100000Z")
+    assert n == 2 and new.startswith(swap("2024-02-29")[0] + "T10:00:00Z and ") and new.endswith("T100000Z")
+    days = [f"{d:02d}/{m:02d}/2024" for d in range(1, 29) for m in range(1, 13)] + [f"{m:02d}/{d:02d}/2024" for d in range(13, 29) for m in range(1, 13)]
+    assert len({swap(d)[0] for d in days}) == len({*days})
+
+
+def test_values_behind_a_telephone_number():
+    swap = feistel.Pseudonyms(b"k")
+    for phone in ("+1 (826) 555-4081", "+33 1 23 45 67 89", "+49 30 1234567"):
+        new, n = swap(f"{phone} 190.12.3.44")
+        assert n == 2 and new == f"{swap(phone)[0]} {swap('190.12.3.44')[0]}"
+    assert swap("0054994038693466") == ("0054994038693466", 0)
