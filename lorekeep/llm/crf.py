@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.store import fold, prepare
 
-#: Documents of each language that are learned from, at most, languages, and words of a document's run.
-SAMPLE_DOCS, LANGUAGES, RUN = 400, 64, 60
+#: Documents of each language that are learned from, at most, languages, and words of a document's run and of the pieces that make it.
+SAMPLE_DOCS, LANGUAGES, RUN, PIECE = 400, 64, 60, 10
 #: Hashed weights, words of a lexicon, letters of a word that make features, and known words of a worker.
 BUCKETS, LEXICON, LETTERS, KNOWN = 1 << 16, 300, 24, 200_000
 STEPS, RATE = 40, 0.3
@@ -73,16 +73,36 @@ def marginals(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> tuple
     return p, pairs
 
 
+def run_of(doc_id: int, text: str) -> list[str]:
+    """RUN words: one piece from each equal part of the whole text, at a place that a hash of the id chooses; short texts are whole."""
+    words = WORD.findall(text.lower())
+    if len(words) <= RUN:
+        return words
+    cuts, out = [len(words) * k // (RUN // PIECE) for k in range(RUN // PIECE + 1)], []
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        at = low + zlib.crc32(f"{doc_id}|{k}".encode()) % (high - low - PIECE + 1)
+        out += words[at : at + PIECE]
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [run_of(i, t) for i, t in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(2)))]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "lang", "words"])
+
+
 def fit(docs: DataFrame) -> Field:
     """Learn from documents with a language outside the held-out fifth; without any, the field has no languages."""
+    prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "lang")
     langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     taken = known.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
     ids = [(r.doc_id, r.lang) for r in taken.select("doc_id", "lang").collect()]
     picked = F.broadcast(docs.sparkSession.createDataFrame(ids, "id long, as string"))
-    rows = docs.join(picked, (docs["doc_id"] == picked["id"]) & (docs["lang"] == picked["as"])).select(docs["lang"], F.substring(docs["text"], 1, 20 * RUN).alias("text")).collect()
-    runs = [(langs.index(r.lang), WORD.findall(r.text.lower())[:RUN]) for r in rows]
+    texts = docs.join(picked, (docs["doc_id"] == picked["id"]) & (docs["lang"] == picked["as"])).where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"], docs["text"])
+    rows = texts.mapInArrow(_runs, "doc_id long, lang string, words array<string>").collect()
+    runs = [(langs.index(r.lang), r.words) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.words))]
     runs = [(y, w) for y, w in runs if w]
     common = [Counter(w for z, ws in runs if z == y for w in ws) for y in range(len(langs))]
     lexicons: dict[str, list[int]] = {}

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lorekeep.llm import feistel, mixing
+from lorekeep.llm import crf, feistel, mixing
 
 
 def test_poisson_inverts_at_any_rate(spark):
@@ -73,6 +73,22 @@ def test_dates_that_do_not_exist_and_times_stay():
     assert len({swap(d)[0] for d in days}) == len({*days})
 
 
+def tongue(lang: int, doc: int, n: int = 40) -> str:
+    """Words that only this language has, made of its own few letters."""
+    letters = [chr(97 + (5 * lang + 3 * k) % 26) + chr(97 + (7 * lang + k) % 26) for k in range(6)]
+    return " ".join("".join(letters[(doc * 7 + w * k + k) % 6] for k in range(1, 4)) for w in range(n))
+
+
+def test_languages_are_learned_behind_a_shared_head(spark):
+    head = "all rights reserved by the holders of this work " * 40 + "0123456789 " * 150
+    rows = [(i, head + tongue(i % 3, i, 400), "xyz"[i % 3]) for i in range(90)]
+    model = crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    best = crf.posteriors(model, [tongue(k, 1000 + k) for k in range(3)], {}).argmax(1)
+    assert [model.langs[k] for k in best] == ["x", "y", "z"]
+    assert len(crf.run_of(7, head + tongue(1, 1, 400))) == crf.RUN and crf.run_of(7, "Un deux") == ["un", "deux"]
+    assert crf.run_of(7, "12 " * 600 + "mot") == ["mot"]
+
+
 def test_values_behind_a_telephone_number():
     swap = feistel.Pseudonyms(b"k")
     for phone in ("+1 (826) 555-4081", "+33 1 23 45 67 89", "+49 30 1234567"):
