@@ -20,32 +20,37 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.store import fold, prepare
 
-#: Documents of each language that are learned from, at most, languages, and words of a document's run and of the pieces that make it.
-SAMPLE_DOCS, LANGUAGES, RUN, PIECE = 400, 64, 60, 10
-#: Hashed weights, words of a lexicon, letters of a word that make features, and known words of a worker.
+#: Documents of each language that are learned from, at most, and words of a document's run and of the pieces that make it.
+SAMPLE_DOCS, RUN, PIECE = 400, 60, 10
+#: All languages are learned. Above this many, they share as many hashed weights and sampled documents as so many have, but no language has fewer than FEW documents.
+FULL, FEW = 64, 20
+#: Hashed weights of a language, words of a lexicon, letters of a word that make features, and known words of a worker.
 BUCKETS, LEXICON, LETTERS, KNOWN = 1 << 16, 300, 24, 200_000
+#: Numbers of an array that holds one for each word and language, at most (or one document's).
+HELD = 1 << 22
 STEPS, RATE = 40, 0.3
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def features(word: str) -> list[int]:
+def features(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of the word, its affixes and n-grams."""
     w = word[:LETTERS]
     named = [f"w{word}", *[f"p{w[:k]}" for k in (1, 2, 3)], *[f"s{word[-k:]}" for k in (1, 2, 3)]]
     marked = f"^{w}$"
     named += [f"g{marked[k : k + n]}" for n in (2, 3) for k in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in named]
+    return [zlib.crc32(x.encode()) % buckets for x in named]
 
 
 @dataclass
 class Field:
     langs: list[str]
-    weights: np.ndarray  # (BUCKETS + languages, languages)
+    weights: np.ndarray  # (hashed + languages, languages)
     moves: np.ndarray  # (languages, languages) transition scores
     lexicons: dict[str, list[int]]
 
     def buckets(self, word: str) -> list[int]:
-        return features(word) + [BUCKETS + k for k in self.lexicons.get(word, ())]
+        hashed = len(self.weights) - len(self.langs)
+        return features(word, hashed) + [hashed + k for k in self.lexicons.get(word, ())]
 
     def emission(self, word: str) -> np.ndarray:
         return self.weights[self.buckets(word)].sum(0)
@@ -67,9 +72,8 @@ def marginals(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> tuple
     p = forward * backward
     p /= p.sum(2, keepdims=True)
     for s in range(1, steps):
-        joint = forward[:, s - 1][:, :, None] * t * (e[:, s] * backward[:, s])[:, None, :]
-        joint /= joint.sum((1, 2), keepdims=True)
-        pairs += joint[s < sizes].sum(0)
+        before, after = forward[:, s - 1][s < sizes], (e[:, s] * backward[:, s])[s < sizes]
+        pairs += t * ((before / ((before @ t) * after).sum(1, keepdims=True)).T @ after)
     return p, pairs
 
 
@@ -95,21 +99,26 @@ def fit(docs: DataFrame) -> Field:
     """Learn from documents with a language outside the held-out fifth; without any, the field has no languages."""
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "lang")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    each = max(FEW, min(SAMPLE_DOCS, SAMPLE_DOCS * FULL // max(1, len(langs))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = known.where(F.col("lang").isin(langs)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
+    taken = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
     ids = [(r.doc_id, r.lang) for r in taken.select("doc_id", "lang").collect()]
     picked = F.broadcast(docs.sparkSession.createDataFrame(ids, "id long, as string"))
     texts = docs.join(picked, (docs["doc_id"] == picked["id"]) & (docs["lang"] == picked["as"])).where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"], docs["text"])
     rows = texts.mapInArrow(_runs, "doc_id long, lang string, words array<string>").collect()
-    runs = [(langs.index(r.lang), r.words) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.words))]
+    place = {x: k for k, x in enumerate(langs)}
+    runs = [(place[r.lang], r.words) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.words))]
     runs = [(y, w) for y, w in runs if w]
-    common = [Counter(w for z, ws in runs if z == y for w in ws) for y in range(len(langs))]
+    common = [Counter() for _ in langs]
+    for y, ws in runs:
+        common[y].update(ws)
     lexicons: dict[str, list[int]] = {}
     for y, c in enumerate(common):
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicons.setdefault(w, []).append(y)
-    model = Field(langs, np.zeros((BUCKETS + len(langs), len(langs))), np.zeros((len(langs), len(langs))), lexicons)
+    hashed = BUCKETS if len(langs) <= FULL else max(1 << 10, BUCKETS * FULL // len(langs))
+    model = Field(langs, np.zeros((hashed + len(langs), len(langs))), np.zeros((len(langs), len(langs))), lexicons)
     if len(langs) > 1 and runs:
         _learn(model, runs)
     return model
@@ -119,8 +128,8 @@ def _learn(model: Field, runs: list[tuple[int, list[str]]]) -> None:
     """Gradient ascent with per-weight rates; sequences hold three documents' runs each."""
     k, rng = len(model.langs), np.random.default_rng(11)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in runs for w in ws))}
-    lists = [model.buckets(w) for w in vocabulary]
-    flat, owner = np.concatenate([np.array(x) for x in lists]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    lists = [np.array(model.buckets(w), np.int32) for w in vocabulary]
+    flat, begins = np.concatenate(lists), np.append(0, np.cumsum([len(x) for x in lists]))
     order = rng.permutation(len(runs))
     joined = [sum(([(vocabulary[w], runs[i][0]) for w in runs[i][1]] for i in order[a : a + 3]), []) for a in range(0, len(order), 3)]
     sizes = np.array([len(x) for x in joined])
@@ -132,14 +141,26 @@ def _learn(model: Field, runs: list[tuple[int, list[str]]]) -> None:
     both = real[:, 1:]
     np.add.at(moved, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     g_w, g_m = np.full_like(model.weights, 1e-6), np.full_like(model.moves, 1e-6)
+    many = max(1, HELD // (sizes.max() * k))
     for _ in range(STEPS):
-        emit = np.zeros((len(lists), k))
-        np.add.at(emit, owner, model.weights[flat])
-        p, pairs = marginals(emit[word], model.moves, sizes)
-        error = np.eye(k)[gold] - p
-        by_word = np.vstack([np.bincount(word[real], error[real][:, c], len(lists)) for c in range(k)]).T
-        grad = np.zeros_like(model.weights)
-        np.add.at(grad, flat, by_word[owner])
+        grad, pairs = np.zeros_like(model.weights), np.zeros((k, k))
+        for a in range(0, len(joined), many):  # sequences
+            steps = sizes[a : a + many].max()
+            used, at = np.unique(word[a : a + many, :steps], return_inverse=True)
+            at, here, y = at.reshape(-1, steps), real[a : a + many, :steps], gold[a : a + many, :steps]
+            parts = [used[b : b + max(1, HELD // (64 * k))] for b in range(0, len(used), max(1, HELD // (64 * k)))]
+            spread = [(begins[x], begins[x + 1] - begins[x]) for x in parts]
+            places = [flat[np.repeat(b - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] for b, n in spread]
+            emit = np.vstack([np.add.reduceat(model.weights[f], np.append(0, np.cumsum(n)[:-1])) for f, (_, n) in zip(places, spread)])
+            p, moves = marginals(emit[at], model.moves, sizes[a : a + many])
+            pairs += moves
+            error = np.negative(p, out=p)
+            np.put_along_axis(error, y[:, :, None], np.take_along_axis(error, y[:, :, None], 2) + 1, 2)
+            by_word = _summed(at[here], error[here], len(used))
+            low = 0
+            for f, (_, n) in zip(places, spread):
+                np.add.at(grad, f, np.repeat(by_word[low : low + len(n)], n, axis=0))
+                low += len(n)
         grad = grad / len(joined) - 1e-4 * model.weights
         step = (moved - pairs) / len(joined) - 1e-3 * model.moves
         g_w += grad**2
@@ -148,8 +169,27 @@ def _learn(model: Field, runs: list[tuple[int, list[str]]]) -> None:
         model.moves += RATE * step / np.sqrt(g_m)
 
 
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of each place."""
+    out = np.zeros((n, rows.shape[1]))
+    np.add.at(out, at, rows)
+    return out
+
+
 def posteriors(model: Field, texts: list[str | None], known: dict[str, np.ndarray]) -> np.ndarray:
     """Mean probabilities of the languages over the words of each whole text; zeros without a letter."""
+    k, out, low = len(model.langs), np.zeros((len(texts), len(model.langs))), 0
+    while low < len(texts):  # whole batches where languages are few
+        high, size = low + 1, len(texts[low] or "")
+        while high < len(texts) and (size + len(texts[high] or "")) * k <= 16 * HELD:
+            size += len(texts[high] or "")
+            high += 1
+        out[low:high] = _posteriors(model, texts[low:high], known)
+        low = high
+    return out
+
+
+def _posteriors(model: Field, texts: list[str | None], known: dict[str, np.ndarray]) -> np.ndarray:
     k = len(model.langs)
     out, emitted = np.zeros((len(texts), k)), []
     for i, text in enumerate(texts):
@@ -159,7 +199,7 @@ def posteriors(model: Field, texts: list[str | None], known: dict[str, np.ndarra
             e = known.get(w)
             if e is None:
                 e = model.emission(w)
-                if len(known) < KNOWN:
+                if len(known) * max(k, 8) < KNOWN * 8:
                     known[w] = e
             rows.append(e)
         if rows:
@@ -202,7 +242,7 @@ def _states(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndar
 def identify(docs: DataFrame, model: Field) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; `und` with score 0 for texts that are null or have no letter."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x LANGUAGES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS * FULL weights up to 4096 languages, and then 1024 and as many as there are languages for each
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value, {}

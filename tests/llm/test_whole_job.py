@@ -1,8 +1,10 @@
 """Cases that once got less than the whole job."""
 
+import itertools
 import math
 import re
 
+import numpy as np
 import pytest
 
 from lorekeep.llm import crf, feistel, mixing
@@ -75,7 +77,8 @@ def test_dates_that_do_not_exist_and_times_stay():
 
 def tongue(lang: int, doc: int, n: int = 40) -> str:
     """Words that only this language has, made of its own few letters."""
-    letters = [chr(97 + (5 * lang + 3 * k) % 26) + chr(97 + (7 * lang + k) % 26) for k in range(6)]
+    script = (0x61, 0x430, 0x561, 0x10D0)[lang // 26]
+    letters = [chr(script + (5 * lang + 3 * k) % 26) + chr(script + (7 * lang + k) % 26) for k in range(6)]
     return " ".join("".join(letters[(doc * 7 + w * k + k) % 6] for k in range(1, 4)) for w in range(n))
 
 
@@ -95,3 +98,24 @@ def test_values_behind_a_telephone_number():
         new, n = swap(f"{phone} 190.12.3.44")
         assert n == 2 and new == f"{swap(phone)[0]} {swap('190.12.3.44')[0]}"
     assert swap("0054994038693466") == ("0054994038693466", 0)
+
+
+def test_rare_languages_are_learned_too(spark):
+    rows = [(100 * k + i, tongue(k, i), f"l{k:03d}") for k in range(80) for i in range(40 if k else 3)]
+    model = crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == [f"l{k:03d}" for k in range(80)] and model.weights.shape[0] < crf.BUCKETS
+    best = crf.posteriors(model, [tongue(k, 50) for k in range(80)], {}).argmax(1)
+    assert np.mean(best == np.arange(80)) >= 0.7 and best[0] == 0
+
+
+def test_pair_sums_and_bounded_parts_match():
+    rng = np.random.default_rng(8)
+    e, t, sizes = rng.normal(size=(5, 6, 3)), rng.normal(size=(3, 3)), np.array([6, 4, 1, 5, 6])
+    want = np.zeros((3, 3))
+    for x, n in zip(e, sizes):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        p = np.array([np.exp(sum(x[i, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:]))) for path in paths])
+        for path, q in zip(paths, p / p.sum()):
+            for a, b in zip(path, path[1:]):
+                want[a, b] += q
+    assert np.allclose(crf.marginals(e, t, sizes)[1], want)
