@@ -98,7 +98,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, vocab
     prepare(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, end = encoder(vocabulary), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encode, part, end = encoder(vocabulary, added=True), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         ranks: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows = []

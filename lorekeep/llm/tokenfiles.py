@@ -132,7 +132,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str |
     ranged = cols.repartitionByRange(partitions_for(docs), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, end = encoder(vocabulary), None, np.array([end_id], "<u4").tobytes()
+        encode, writer, end = encoder(vocabulary, added=True), None, np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -2,8 +2,9 @@
 
 A byte-level BPE without normalizer encodes each pre-token on its own, so joining the ids of the pre-tokens
 gives the ids of the text. A pre-token ends wherever white space follows a visible character: texts are cut
-there, frequent words are looked up, and the pre-tokens of the others go to the library's model. Strings of
-special tokens within a text are ordinary text.
+there, frequent words are looked up, and the pre-tokens of the others go to the library's model. With
+`added`, as the operators use it, texts are first split at the tokenizer's added tokens, as the library does;
+without, their strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _WORDS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: A word of Latin letters, and punctuation after it: one pre-token each.
 _PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -45,13 +46,19 @@ def _symbols() -> dict[int, str]:
 class Encoder:
     """Ids of texts as little-endian 32-bit values."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        tokens = {t.content: (i, t) for i, t in self.library.get_added_tokens_decoder().items()} if added else {}
+        self.added = {c: array("I", [i]).tobytes() for c, (i, _) in tokens.items()}
+        #: Tokens that take white space along or need word borders are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in tokens.values())
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") if tokens else None
         self.pre_tokens = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"(?!\S)", f"(?![^{SPACE}])"))
         self.symbols = _symbols()
         self.known: dict[str, bytes] = {}
@@ -100,6 +107,14 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.split and self.split.search(text):
+            if not self.plain:
+                return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+            return b"".join(self.added.get(x) or self._ordinary(x) for x in self.split.split(text) if x)
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         spaced, after, out = self.spaced.get, self._after_space, []
         for part in self.slices(text):
             if _RUN.search(part):
@@ -111,9 +126,9 @@ class Encoder:
         return b"".join(out)
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, added: bool = False) -> Encoder:
     """The encoder of this worker; its memory of words lasts from task to task."""
     path = path or vocabulary_path()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]

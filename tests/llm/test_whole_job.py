@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from lorekeep.llm import crf, feistel, mixing
+from lorekeep.llm import crf, feistel, mixing, packing, tokenfiles
 
 
 def test_poisson_inverts_at_any_rate(spark):
@@ -119,3 +119,22 @@ def test_pair_sums_and_bounded_parts_match():
             for a, b in zip(path, path[1:]):
                 want[a, b] += q
     assert np.allclose(crf.marginals(e, t, sizes)[1], want)
+
+
+def test_added_tokens_have_the_ids_of_the_unaltered_library(spark):
+    import random
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from lorekeep.llm.tokens import encoder, vocabulary_path
+
+    whole, rng = Tokenizer.from_file(vocabulary_path()), random.Random(4)
+    parts = [*"ab cZ' \n.!9", "é", "'ll", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "\r\n"]
+    texts = ["a<|endoftext|>b"] + ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1000)]
+    want = [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(encoder(added=True)(x), "<u4").tolist() for x in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    for got, end in ((tokenfiles.token_files(docs), 0), (packing.pack_documents(docs).withColumnRenamed("length", "n_tokens"), 2)):
+        rows = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got.collect()}
+        assert rows == {k: (len(x) + 1, zlib.crc32(np.array([*x, end], "<u4").tobytes())) for k, x in enumerate(want[:50])}
