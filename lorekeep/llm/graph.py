@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.store import written
+from lorekeep.llm.store import discard, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(rounds):
-        now = written(_stars(_stars(now, True), False), "edges")
+        before, now = now, written(_stars(_stars(now, True), False), "edges")
+        discard(before)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

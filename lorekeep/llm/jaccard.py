@@ -1,11 +1,15 @@
 """Exact Jaccard join of word n-gram sets by prefixes and token combinations, as classes of near copies.
 
-Equal sets are one node. Tokens are ordered from rare to frequent by counts over all nodes, so the few first
-tokens of two similar sets meet: the least common token is in both prefixes, and the two least are in both
-prefixes that are one longer. Rare tokens are indexed alone and frequent ones in pairs (in short sets; long
-ones keep single tokens, and sets that may match both kinds have both). Candidates first meet one or two
-hubs of each index entry, which joins groups of copies without pairing their members; whatever shares an
-entry but not yet a class is then compared in full, so no link between classes is lost.
+Equal sets are one node. Tokens are ordered from rare to frequent by counts over all documents, and a set of n
+tokens may miss `spare` = n - ceil(t * n) of them in a similar one. Its prefix has spare + 1 tokens and some
+more, one for each subclass that frequent tokens are dealt to. Tokens that few prefixes have are indexed alone.
+Tokens that more than COMMON prefixes have are indexed in pairs of one subclass: of the shared tokens of two
+similar sets' prefixes one is rare, or two lie in one subclass. So no similar pair is missed, at any size.
+
+Before pairs of frequent tokens are made, the sets of each frequent token meet one or two hubs of theirs, which
+joins large groups of copies without pairing their members; pairs of tokens are made only where sets of several
+classes still share a token. Candidates are first held against an upper bound of their overlap from parity
+bitmaps, which is exact in the sense that no similar pair fails it, and then against their whole texts.
 """
 
 from __future__ import annotations
@@ -15,18 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import connected
-from lorekeep.llm.store import prepare, written
+from lorekeep.llm.store import discard, prepare, written
 from lorekeep.llm.words import NOT_SPACE, mix, pieces
 
 #: Tokens are counted in so many cells; the order of tokens may be any, as long as it is one for all.
 CELLS = 1 << 16
-#: Sets of more tokens than this index single frequent tokens, not pairs.
-PAIRED_SIZE = 120
+#: A token in more prefixes than this is indexed in pairs; entries of a frequent token or pair are worked on in blocks of this many.
+COMMON, BLOCK = 32, 512
+#: Tokens of cells above this multiple of the mean count are surely frequent; their rows are dealt to so many tasks.
+HOT, SALTS = 8, 64
+#: Bits of the filter of wanted nodes: 4 MB, whatever the corpus. It only saves work; above its size it lets more rows pass.
+FILTER_BITS = 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -40,119 +49,279 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def token_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted token sets of a text column's rows, in order."""
+    held: list[np.ndarray] = []
+    for piece in pieces(column, NOT_SPACE):
+        h, cuts = piece.hashes(), np.searchsorted(piece.row, np.arange(piece.rows + 1))
+        if not piece.last or held:
+            held.append(h)
+            if piece.last:
+                yield shingles(np.concatenate(held), width)
+                held = []
+            continue
+        for k in range(piece.rows):
+            yield shingles(h[cuts[k] : cuts[k + 1]], width)
+
+
+def name_of(tokens: np.ndarray) -> bytes:
+    return hashlib.md5(tokens.astype("<u8").tobytes()).digest()
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' counts in as many bits as the next power of two, at least 256."""
+    bits = 1 << max(8, int(len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the overlap: every differing bit is a token that only one set has."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return (nx + ny - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
 def _sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document, and then the task's token counts by cell, where each set counts once."""
+        counts, seen = np.zeros(CELLS, np.int64), set()
         for batch in batches:
-            parts: dict[int, list[np.ndarray]] = {}
-            for piece in pieces(batch.column(1), NOT_SPACE):
-                h, cuts = piece.hashes(), np.searchsorted(piece.row, np.arange(piece.rows + 1))
-                for k in range(piece.rows):
-                    parts.setdefault(piece.first + k, []).append(h[cuts[k] : cuts[k + 1]])
-            found = [shingles(np.concatenate(parts[k]), width) if k in parts else np.zeros(0, np.uint64) for k in range(batch.num_rows)]
-            raw = [x.astype("<u8").tobytes() for x in found]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.md5(x).digest() for x in raw], pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "n", "node", "tokens"])
+            n, nodes, bits, held = [], [], [], [np.zeros(0, np.int64)]
+            for x in token_sets(batch.column(1), width):
+                node = name_of(x)
+                n.append(len(x))
+                nodes.append(node)
+                bits.append(bitmap(x))
+                if node not in seen:
+                    seen.add(node)
+                    held.append((x & np.uint64(CELLS - 1)).astype(np.int64))
+            counts += np.bincount(np.concatenate(held), minlength=CELLS)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), none, none], names=["doc_id", "n", "node", "bits", "cell", "count"])
+        cells = np.flatnonzero(counts)
+        none = [pa.nulls(len(cells), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        yield pa.record_batch([*none, pa.array(cells), pa.array(counts[cells])], names=["doc_id", "n", "node", "bits", "cell", "count"])
 
     return sets
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            counts += np.bincount((np.frombuffer(raw.as_buffer(), "<u8") & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-    cells = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
+def spare_of(n: int, percent: int) -> int:
+    return n - (n * percent + 99) // 100
+
 
+def size_class(n: int, percent: int) -> int:
+    """Sets whose sizes allow similarity are of one class or of two that follow each other."""
+    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, limit: float, percent: int) -> np.ndarray:
-    """The index keys of one set."""
+
+def subclasses(c: int, percent: int) -> int:
+    """The number of subclasses that frequent tokens of sets of class c, and of the one below, are dealt to."""
+    return max(1, spare_of(int((100 / percent) ** c), percent) // 4)
+
+
+def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens that a set is indexed under: enough for any set of frequent tokens. Sets of one token match only their equals."""
     n = len(tokens)
-    spare = n - (n * percent + 99) // 100
-    often = counts[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
-    order = np.lexsort((tokens, often))[: spare + 2]
-    first, frequent = tokens[order], often[order] > limit
-    single, head = ~frequent, np.arange(len(order)) <= spare
-    if n > PAIRED_SIZE or spare + 2 > n:  # too short to share two tokens for certain
-        single = single | True
-    keys = [mix(first[single & head])]
-    if spare + 2 > n or n * percent <= 100 * PAIRED_SIZE:
-        f = first[frequent]
-        a, b = np.triu_indices(len(f), 1)
-        keys.append(mix(mix(f[a]) * _STEP + f[b]))
-        if (n - spare) < 2 or n * percent < 200:
-            keys.append(mix(first[head]))
-    return np.unique(np.concatenate(keys))
-
-
-def _index(shared, limit: float, percent: int):
+    if n < 2:
+        return tokens[:0]
+    size = spare_of(n, percent) + 1 + subclasses(size_class(n, percent) + 1, percent)
+    return tokens[np.lexsort((tokens, counts[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]))[:size]]
+
+
+def _index(shared, hot: float, width: int, percent: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, seen = shared.value, set()
         for batch in batches:
-            found = [prefix(np.frombuffer(raw.as_buffer(), "<u8"), counts, limit, percent) for raw in batch.column(2)]
-            for a in range(0, len(found), 500):
-                some = found[a : a + 500]
-                at = np.repeat(np.arange(a, a + len(some)), [len(x) for x in some])
-                yield pa.record_batch([pa.array(np.concatenate(some).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "node", "n"])
+            keys, at, n = [], [], []
+            for x in token_sets(batch.column(0), width):
+                node = name_of(x)
+                if len(x) > 1 and node not in seen:
+                    seen.add(node)
+                    keys.append(prefix(x, counts, percent))
+                    at.append(int.from_bytes(node[:8], "little", signed=True))
+                    n.append(len(x))
+            if keys:
+                sizes, flat = [len(k) for k in keys], np.concatenate(keys)
+                rows = [flat.view(np.int64), np.repeat(np.array(at, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes), counts[(flat & np.uint64(CELLS - 1)).astype(np.int64)] > hot]
+                for a in range(0, len(flat), 50_000):
+                    yield pa.record_batch([pa.array(c[a : a + 50_000]) for c in rows], names=["key", "at", "n", "hot"])
 
     return index
 
 
-def _verify(percent: int):
+def _combined(percent: int):
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each set's frequent tokens that lie in one subclass, for its own size class and the next."""
+        for batch in batches:
+            for at, n, of, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                keys, out = np.unique(row.values.to_numpy(zero_copy_only=False).view(np.uint64)), []
+                for c in (size_class(n, percent), size_class(n, percent) + 1):
+                    sub = (mix(keys) % np.uint64(subclasses(c, percent))).astype(np.int64)
+                    order = np.argsort(sub, kind="stable")
+                    for part in np.split(keys[order], np.flatnonzero(np.diff(sub[order])) + 1):
+                        a, b = np.triu_indices(len(part), 1)
+                        out.append(mix(mix(part[a] * _STEP + part[b]) + np.uint64(c)))
+                flat = np.concatenate(out).view(np.int64)
+                for a in range(0, len(flat), 50_000):
+                    some = pa.array(flat[a : a + 50_000])
+                    yield pa.record_batch([some, pa.array([at] * len(some)), pa.array([n] * len(some), pa.int32()), pa.array([of] * len(some), pa.binary())], names=["key", "at", "n", "of"])
+
+    return combined
+
+
+def _possible(percent: int):
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, nx, ny in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))):
+                most = min(most_shared(x, y, nx, ny), nx, ny)
+                keep.append(100 * most >= percent * (nx + ny - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return possible
+
+
+def _verify(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+            for x, y in zip(token_sets(batch.column("x"), width), token_sets(batch.column("y"), width)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
 
-def links(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    x = nodes.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    y = nodes.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a binary, b binary")
+def _texts(shared, width: int):
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text of each node that the filter lets pass, once a task."""
+        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        for batch in batches:
+            take, nodes = [], []
+            for k, x in enumerate(token_sets(batch.column(0), width)):
+                node = name_of(x)
+                b = int.from_bytes(node[:8], "little") % FILTER_BITS
+                if len(x) > 1 and bits[b >> 3] >> (b & 7) & 1 and node not in seen:
+                    seen.add(node)
+                    take.append(k)
+                    nodes.append(node)
+            yield pa.record_batch([pa.array(nodes, pa.binary()), batch.column(0).take(pa.array(take, pa.int64()))], names=["node", "text"])
+
+    return texts
+
+
+class Join:
+    """The steps that candidates of one corpus go through."""
+
+    def __init__(self, docs: DataFrame, words: int, percent: int):
+        if percent < 60:
+            raise ValueError("similarities below 0.6 need longer prefixes")
+        self.spark, self.words, self.percent = docs.sparkSession, words, percent
+        self.texts = docs.select("text")
+        both = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words), "doc_id long, n long, node binary, bits binary, cell long, count long"), "sets")
+        self.rows = both.where("node is not null").select("doc_id", "n", "node", "bits")
+        cells = both.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toPandas()  # at most CELLS rows
+        self.counts = np.zeros(CELLS, np.int64)
+        self.counts[cells["cell"]] = cells["n"]
+        least = self.rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"))
+        self.nodes = written(least.withColumn("at", _at("node")), "nodes")
+
+    def alike(self, nx: str, ny: str):
+        """Sizes that allow similarity."""
+        return 100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)
+
+    def entries(self) -> DataFrame:
+        """Rows (key, at, n, often, low, high) of all tokens that several prefixes have; low and high are hubs of (n, at)."""
+        hot = float(HOT * self.counts.mean() + 1000)
+        index = self.texts.mapInArrow(_index(self.spark.sparkContext.broadcast(self.counts), hot, self.words, self.percent), "key long, at long, n int, hot boolean")
+        dealt = index.withColumn("salt", F.when(F.col("hot"), F.pmod("at", F.lit(SALTS))).otherwise(0).cast("int"))
+        whole = dealt.repartition("key", "salt").distinct()  # copies in several tasks
+        every = Window.partitionBy("key", "salt")
+        hub = F.struct("n", "at")
+        sized = whole.select("key", "at", "n", "hot", F.count(F.lit(1)).over(every).alias("m"), F.min(hub).over(every).alias("low"), F.max(hub).over(every).alias("high"))
+        return written(sized.where("m > 1 or hot").select("key", "at", "n", (F.col("hot") | (F.col("m") > COMMON)).alias("often"), "low", "high"), "entries")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Edges (a, b) of nodes whose sets are similar enough, of candidate pairs (a, b) of places."""
+        of = self.nodes.select("at", "node", "bits", "n")
+        x = of.select(F.col("at").alias("a"), F.col("node").alias("na"), F.col("bits").alias("x"), F.col("n").alias("nx"))
+        y = of.select(F.col("at").alias("b"), F.col("node").alias("nb"), F.col("bits").alias("y"), F.col("n").alias("ny"))
+        bound = pairs.join(x, "a").join(y, "b").where("na != nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), "x", "y", "nx", "ny")
+        likely = written(bound.mapInArrow(_possible(self.percent), "a binary, b binary"), "likely")
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # the place modulo the filter's bits, counted from 1 as Spark's bitmap functions do
+        bit = F.pmod(_at("node"), F.lit(FILTER_BITS)) + 1
+        found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # at most FILTER_BITS / 32768 rows
+        bits = bytearray(FILTER_BITS // 8)
+        for r in found:
+            bits[(r.bucket - 1) * _BUCKET // 8 : r.bucket * _BUCKET // 8] = r.bits
+        passed = self.texts.mapInArrow(_texts(self.spark.sparkContext.broadcast(bytes(bits)), self.words), "node binary, text string")
+        texts = written(passed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "wanted")
+        x, y = (texts.select(F.col("node").alias(p), F.col("text").alias(t)) for p, t in (("a", "x"), ("b", "y")))
+        near = written(likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.words, self.percent), "a binary, b binary"), "links")
+        discard(texts, likely)
+        return near
+
+    def first_pairs(self, entries: DataFrame) -> DataFrame:
+        """All pairs that share a rare token, and the sets of frequent tokens with their hubs."""
+        rare = entries.where("not often")
+        x, y = rare.select("key", F.col("at").alias("a"), F.col("n").alias("nx")), rare.select("key", F.col("at").alias("b"), F.col("n").alias("ny"))
+        alone = x.join(y, "key").where((F.col("a") < F.col("b")) & self.alike("nx", "ny")).select("a", "b")
+        met = entries.where("often").select("at", "n", F.explode(F.array("low", "high")).alias("hub"))
+        met = met.where((F.col("at") != F.col("hub.at")) & self.alike("n", "hub.n"))
+        return alone.unionByName(met.select(F.least("at", "hub.at").alias("a"), F.greatest("at", "hub.at").alias("b"))).distinct()
+
+    def classed(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Those rows (key, at, n) of entries that hold several classes, with the class as `of`."""
+        known = self.nodes.select("at", "node").join(classes, "node", "left").select("at", F.coalesce("component", "node").alias("of"))
+        with_class = rows.join(known, "at").select("key", "at", "n", "of")
+        mixed = with_class.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h"), F.count(F.lit(1)).alias("m")).where("l != h").select("key", "m")
+        return with_class.join(mixed, "key")
+
+    def rest_pairs(self, entries: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs of different classes that share two frequent tokens of a subclass; large entries meet block by block."""
+        often = self.classed(entries.where("often").select("key", "at", "n"), classes)
+        by_set = often.groupBy("at", "n").agg(F.first("of").alias("of"), F.collect_list("key").alias("keys"))  # no longer than a prefix
+        pairs = written(by_set.select("at", "n", "of", "keys").mapInArrow(_combined(self.percent), "key long, at long, n int, of binary"), "combinations")
+        mixed = pairs.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h"), F.count(F.lit(1)).alias("m")).where("l != h")
+        left = pairs.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "key")
+        part = F.pmod(F.xxhash64("at"), F.col("parts")).cast("int")
+        x = left.select("key", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.col("at").alias("a"), F.col("n").alias("nx"), F.col("of").alias("ofx"))
+        y = left.select("key", part.alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("at").alias("b"), F.col("n").alias("ny"), F.col("of").alias("ofy"))
+        rest = x.join(y, ["key", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("ofx") != F.col("ofy")) & self.alike("nx", "ny")).select("a", "b").distinct()
+        found = written(rest, "rest-pairs")
+        discard(pairs)
+        return found
+
+
+def _at(node: str):
+    """The first eight bytes of a node's name as a little-endian number: where the index names it. A clash only makes more candidates."""
+    return F.expr(f"cast(conv(concat_ws('', reverse(transform(sequence(1, 8), i -> hex(substring({node}, i, 1))))), 16, -10) as long)")
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; null and empty texts link with nothing.
 
-    Repeated rows come as often as they are, in one class. Null ids take part; a class of nothing else has a null id.
+    Repeated rows come as often as they are, in one class. Null ids take part; a class of nothing else has a
+    null id. Other columns than doc_id and text are not looked at. Very long texts are shingled whole.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words), "doc_id long, n long, node binary, tokens binary"), "sets")
-    full = sets.where("n > 0")
-    owners = full.groupBy("node").agg(F.min("doc_id").alias("least"))
-    # rows of one set are equal in all but the id, and partial aggregation leaves one for each task
-    nodes = written(full.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "nodes")
-    cells = nodes.select("tokens").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(CELLS, np.int64)
-    counts[cells["cell"]] = cells["n"]
-    limit = 4 * counts.mean() + 50
-    index = written(nodes.select("node", "n", "tokens").mapInArrow(_index(spark.sparkContext.broadcast(counts), limit, percent), "key long, node binary, n long"), "index")
-    entry = F.struct("n", "node")
-    hubs = index.groupBy("key").agg(F.min(entry).alias("low"), F.max(entry).alias("high")).where("low.node != high.node")
-    met = index.join(hubs, "key").select("node", "n", F.explode(F.array("low", "high")).alias("hub")).where("node != hub.node")
-    met = met.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    near = written(links(pairs, nodes, percent), "links")
-    first = connected(near)
-    # entries that still hold several classes: all their pairs of different classes
-    classed = index.join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("of"))
-    classed = written(classed, "classed")
-    mixed = classed.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h")).where("l != h").select("key")
-    left = classed.join(mixed, "key")
-    x, y = (left.select("key", *[F.col(c).alias(c + s) for c in ("node", "n", "of")]) for s in "xy")
-    rest = x.join(y, "key").where((F.col("ofx") < F.col("ofy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    rest = rest.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    final = connected(near.unionByName(links(rest, nodes, percent)))
-    owned = owners.join(final, "node", "left").withColumn("of", F.coalesce("component", "node"))
+    prepare(docs.sparkSession)
+    join = Join(docs, words, percent)
+    entries = join.entries()
+    first = written(join.first_pairs(entries), "first-pairs")
+    near = join.links(first)
+    classes = connected(near)
+    rest = written(join.rest_pairs(entries, classes).join(first, ["a", "b"], "left_anti"), "rest")
+    discard(entries, first)
+    if not rest.isEmpty():
+        classes = connected(near.unionByName(join.links(rest)))
+    owned = join.nodes.select("node", "least").join(classes, "node", "left").withColumn("of", F.coalesce("component", "node"))
     ids = owned.groupBy("of").agg(F.min("least").alias("component_id"))
     named = owned.join(ids, "of").select("node", "component_id")
-    out = sets.select("doc_id", "n", "node").join(named, "node", "left")
+    out = join.rows.select("doc_id", "n", "node").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

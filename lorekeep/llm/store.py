@@ -9,9 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +31,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "lorekeep")
-    if "://" not in base:
-        base = ("file://" if base.startswith("/") else "file://" + os.getcwd() + "/") + base
+    if "://" not in base:  # a path of the default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).replace("file:/", "file:///", 1)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -51,10 +50,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def discard(spark: SparkSession, uri: str) -> None:
-    """Delete a folder of the shared store that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more: what was made of them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
@@ -68,9 +70,3 @@ def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5; rows where it is 0 are held out of all learning. Null ids are held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))
-
-
-def as_batches(table_of: dict, schema: pa.Schema, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Columns as record batches of at most `rows` rows."""
-    table = pa.table(table_of, schema=schema)
-    yield from table.to_batches(max_chunksize=rows)
