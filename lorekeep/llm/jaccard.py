@@ -8,8 +8,10 @@ similar sets' prefixes one is rare, or two lie in one subclass. So no similar pa
 
 Before pairs of frequent tokens are made, the sets of each frequent token meet one or two hubs of theirs, which
 joins large groups of copies without pairing their members; pairs of tokens are made only where sets of several
-classes still share a token. Candidates are first held against an upper bound of their overlap from parity
-bitmaps, which is exact in the sense that no similar pair fails it, and then against their whole texts.
+classes still share a token. Where many sets share a pair, each is written as its differences from the entry's
+hub: two sets that are similar, of which one is not similar to the hub, share a difference. So prefixes of the
+differences are indexed, which few sets share. Candidates are first held against an upper bound of their overlap
+from parity bitmaps, which no similar pair fails, and then against their whole texts.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from lorekeep.llm.words import NOT_SPACE, mix, pieces
 
 #: Tokens are counted in so many cells; the order of tokens may be any, as long as it is one for all.
 CELLS = 1 << 16
-#: A token in more prefixes than this is indexed in pairs; entries of a frequent token or pair are worked on in blocks of this many.
-COMMON, BLOCK = 32, 512
+#: A token in more prefixes than this is indexed in pairs; a pair of tokens in more sets than this, by differences.
+COMMON = 32
 #: Tokens of cells above this multiple of the mean count are surely frequent; their rows are dealt to so many tasks.
 HOT, SALTS = 8, 64
 #: Bits of the filter of wanted nodes: 4 MB, whatever the corpus. It only saves work; above its size it lets more rows pass.
@@ -136,7 +138,7 @@ def _index(shared, hot: float, width: int, percent: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            keys, at, n = [], [], []
+            keys, at, n, score = [], [], [], []
             for x in token_sets(batch.column(0), width):
                 node = name_of(x)
                 if len(x) > 1 and node not in seen:
@@ -144,11 +146,12 @@ def _index(shared, hot: float, width: int, percent: int):
                     keys.append(prefix(x, counts, percent))
                     at.append(int.from_bytes(node[:8], "little", signed=True))
                     n.append(len(x))
+                    score.append(counts[(x & np.uint64(CELLS - 1)).astype(np.int64)].mean())
             if keys:
                 sizes, flat = [len(k) for k in keys], np.concatenate(keys)
-                rows = [flat.view(np.int64), np.repeat(np.array(at, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes), counts[(flat & np.uint64(CELLS - 1)).astype(np.int64)] > hot]
+                rows = [flat.view(np.int64), np.repeat(np.array(at, np.int64), sizes), np.repeat(np.array(n, np.int32), sizes), np.repeat(np.array(score, np.float32), sizes), counts[(flat & np.uint64(CELLS - 1)).astype(np.int64)] > hot]
                 for a in range(0, len(flat), 50_000):
-                    yield pa.record_batch([pa.array(c[a : a + 50_000]) for c in rows], names=["key", "at", "n", "hot"])
+                    yield pa.record_batch([pa.array(c[a : a + 50_000]) for c in rows], names=["key", "at", "n", "score", "hot"])
 
     return index
 
@@ -157,7 +160,7 @@ def _combined(percent: int):
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of each set's frequent tokens that lie in one subclass, for its own size class and the next."""
         for batch in batches:
-            for at, n, of, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for at, n, of, score, row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
                 keys, out = np.unique(row.values.to_numpy(zero_copy_only=False).view(np.uint64)), []
                 for c in (size_class(n, percent), size_class(n, percent) + 1):
                     sub = (mix(keys) % np.uint64(subclasses(c, percent))).astype(np.int64)
@@ -168,7 +171,7 @@ def _combined(percent: int):
                 flat = np.concatenate(out).view(np.int64)
                 for a in range(0, len(flat), 50_000):
                     some = pa.array(flat[a : a + 50_000])
-                    yield pa.record_batch([some, pa.array([at] * len(some)), pa.array([n] * len(some), pa.int32()), pa.array([of] * len(some), pa.binary())], names=["key", "at", "n", "of"])
+                    yield pa.record_batch([some, pa.array([at] * len(some)), pa.array([n] * len(some), pa.int32()), pa.array([of] * len(some), pa.binary()), pa.array([score] * len(some), pa.float32())], names=["key", "at", "n", "of", "score"])
 
     return combined
 
@@ -197,6 +200,48 @@ def _verify(width: int, percent: int):
     return verify
 
 
+def differences(x: np.ndarray, hub: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
+    """The first differences of a set from its hub, how many there are in all, and whether both are similar.
+
+    Sets x and y differ by |Dx| + |Dy| - 2 * |Dx and Dy|, where D is the difference from the hub, and are similar
+    if that is at most k * (|x| + |y|), k = (1 - t) / (1 + t). If one of them is not similar to the hub, they
+    share at least `least` differences. Differences that x has come before those that only the hub has.
+    """
+    more, fewer = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    cost = lambda t: t[np.lexsort((t, counts[(t & np.uint64(CELLS - 1)).astype(np.int64)]))]
+    every = np.concatenate([mix(cost(more)), mix(~cost(fewer))])
+    d, up, down = len(every), 100 - percent, 100 + percent
+    linked = down * d <= up * (len(x) + len(hub))
+    if linked:  # twice the shared ones are more than this over `down`
+        least = (down * d - up * (len(x) - len(hub))) // (2 * down) + 1
+    else:
+        least = -(-(down * d - up * (len(x) + len(hub))) // (2 * down))
+    return every[: max(0, d - max(1, least) + 1)], d, linked
+
+
+def _differences(shared, width: int, percent: int):
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the index of differences, and a row with both names for each set that is similar to its hub."""
+        counts = shared.value
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("at", "n", "of", "hub", "a", "b")]
+            for at, n, of, hub, a, b, x, y in zip(*cols, token_sets(batch.column("x"), width), token_sets(batch.column("y"), width)):
+                first, d, linked = differences(x, y, counts, percent)
+                keys = mix(first * _STEP + np.uint64(hub % (1 << 64))).view(np.int64)
+                if linked and a != b:
+                    yield pa.record_batch([[None], [at], [n], [of], [d], [0], [a], [b]], schema=_DIFFERENCE)
+                for k in range(0, len(keys), 50_000):
+                    m = len(keys[k : k + 50_000])
+                    none = pa.nulls(m, pa.binary())
+                    left = d - np.arange(k, k + m)
+                    yield pa.record_batch([pa.array(keys[k : k + m]), pa.array([at] * m), pa.array([n] * m, pa.int32()), pa.array([of] * m, pa.binary()), pa.array([d] * m, pa.int32()), pa.array(left.astype(np.int32)), none, none], schema=_DIFFERENCE)
+
+    return listed
+
+
+_DIFFERENCE = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("of", pa.binary()), ("d", pa.int32()), ("left", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
 def _texts(shared, width: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text of each node that the filter lets pass, once a task."""
@@ -236,15 +281,18 @@ class Join:
         return 100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)
 
     def entries(self) -> DataFrame:
-        """Rows (key, at, n, often, low, high) of all tokens that several prefixes have; low and high are hubs of (n, at)."""
+        """Rows (key, at, n, score, often, low, high) of all tokens that several prefixes have.
+
+        The hubs low and high are the least set and the one with the most frequent tokens, which is in the midst of its copies.
+        """
         hot = float(HOT * self.counts.mean() + 1000)
-        index = self.texts.mapInArrow(_index(self.spark.sparkContext.broadcast(self.counts), hot, self.words, self.percent), "key long, at long, n int, hot boolean")
+        index = self.texts.mapInArrow(_index(self.spark.sparkContext.broadcast(self.counts), hot, self.words, self.percent), "key long, at long, n int, score float, hot boolean")
         dealt = index.withColumn("salt", F.when(F.col("hot"), F.pmod("at", F.lit(SALTS))).otherwise(0).cast("int"))
         whole = dealt.repartition("key", "salt").distinct()  # copies in several tasks
         every = Window.partitionBy("key", "salt")
-        hub = F.struct("n", "at")
-        sized = whole.select("key", "at", "n", "hot", F.count(F.lit(1)).over(every).alias("m"), F.min(hub).over(every).alias("low"), F.max(hub).over(every).alias("high"))
-        return written(sized.where("m > 1 or hot").select("key", "at", "n", (F.col("hot") | (F.col("m") > COMMON)).alias("often"), "low", "high"), "entries")
+        low, high = F.struct("n", "at"), F.max(F.struct("score", "n", "at")).over(every)
+        sized = whole.select("key", "at", "n", "score", "hot", F.count(F.lit(1)).over(every).alias("m"), F.min(low).over(every).alias("low"), F.struct(high["n"].alias("n"), high["at"].alias("at")).alias("high"))
+        return written(sized.where("m > 1 or hot").select("key", "at", "n", "score", (F.col("hot") | (F.col("m") > COMMON)).alias("often"), "low", "high"), "entries")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Edges (a, b) of nodes whose sets are similar enough, of candidate pairs (a, b) of places."""
@@ -253,7 +301,14 @@ class Join:
         y = of.select(F.col("at").alias("b"), F.col("node").alias("nb"), F.col("bits").alias("y"), F.col("n").alias("ny"))
         bound = pairs.join(x, "a").join(y, "b").where("na != nb").select(F.col("na").alias("a"), F.col("nb").alias("b"), "x", "y", "nx", "ny")
         likely = written(bound.mapInArrow(_possible(self.percent), "a binary, b binary"), "likely")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        x, y = self.sides(likely)
+        near = written(likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.words, self.percent), "a binary, b binary"), "links")
+        discard(likely)
+        return near
+
+    def sides(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The texts of the nodes of pairs (a, b), as (a, x) and as (b, y)."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # the place modulo the filter's bits, counted from 1 as Spark's bitmap functions do
         bit = F.pmod(_at("node"), F.lit(FILTER_BITS)) + 1
         found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # at most FILTER_BITS / 32768 rows
@@ -262,10 +317,7 @@ class Join:
             bits[(r.bucket - 1) * _BUCKET // 8 : r.bucket * _BUCKET // 8] = r.bits
         passed = self.texts.mapInArrow(_texts(self.spark.sparkContext.broadcast(bytes(bits)), self.words), "node binary, text string")
         texts = written(passed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "wanted")
-        x, y = (texts.select(F.col("node").alias(p), F.col("text").alias(t)) for p, t in (("a", "x"), ("b", "y")))
-        near = written(likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(self.words, self.percent), "a binary, b binary"), "links")
-        discard(texts, likely)
-        return near
+        return tuple(texts.select(F.col("node").alias(p), F.col("text").alias(t)) for p, t in (("a", "x"), ("b", "y")))
 
     def first_pairs(self, entries: DataFrame) -> DataFrame:
         """All pairs that share a rare token, and the sets of frequent tokens with their hubs."""
@@ -279,24 +331,34 @@ class Join:
     def classed(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """Those rows (key, at, n) of entries that hold several classes, with the class as `of`."""
         known = self.nodes.select("at", "node").join(classes, "node", "left").select("at", F.coalesce("component", "node").alias("of"))
-        with_class = rows.join(known, "at").select("key", "at", "n", "of")
+        with_class = rows.join(known, "at").select("key", "at", "n", "score", "of")
         mixed = with_class.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h"), F.count(F.lit(1)).alias("m")).where("l != h").select("key", "m")
         return with_class.join(mixed, "key")
 
-    def rest_pairs(self, entries: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs of different classes that share two frequent tokens of a subclass; large entries meet block by block."""
-        often = self.classed(entries.where("often").select("key", "at", "n"), classes)
-        by_set = often.groupBy("at", "n").agg(F.first("of").alias("of"), F.collect_list("key").alias("keys"))  # no longer than a prefix
-        pairs = written(by_set.select("at", "n", "of", "keys").mapInArrow(_combined(self.percent), "key long, at long, n int, of binary"), "combinations")
-        mixed = pairs.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h"), F.count(F.lit(1)).alias("m")).where("l != h")
-        left = pairs.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "key")
-        part = F.pmod(F.xxhash64("at"), F.col("parts")).cast("int")
-        x = left.select("key", part.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.col("at").alias("a"), F.col("n").alias("nx"), F.col("of").alias("ofx"))
-        y = left.select("key", part.alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.col("at").alias("b"), F.col("n").alias("ny"), F.col("of").alias("ofy"))
-        rest = x.join(y, ["key", "p", "q"]).where((F.col("a") < F.col("b")) & (F.col("ofx") != F.col("ofy")) & self.alike("nx", "ny")).select("a", "b").distinct()
-        found = written(rest, "rest-pairs")
-        discard(pairs)
-        return found
+    def pairs_of(self, rows: DataFrame, more: list[str], test) -> DataFrame:
+        """Pairs of different classes that share a key and pass the test of columns named ...x and ...y."""
+        x, y = (rows.select("key", F.col("at").alias(p), *[F.col(c).alias(c + s) for c in ("n", "of", *more)]) for p, s in (("a", "x"), ("b", "y")))
+        return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ofx") != F.col("ofy")) & self.alike("nx", "ny") & test).select("a", "b").distinct()
+
+    def rest(self, entries: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs of different classes that share two frequent tokens of a subclass, and edges found on the way."""
+        often = self.classed(entries.where("often").select("key", "at", "n", "score"), classes)
+        by_set = often.groupBy("at", "n").agg(F.first("of").alias("of"), F.first("score").alias("score"), F.collect_list("key").alias("keys"))  # no longer than a prefix
+        pairs = written(by_set.select("at", "n", "of", "score", "keys").mapInArrow(_combined(self.percent), "key long, at long, n int, of binary, score float"), "combinations")
+        mixed = pairs.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h"), F.count(F.lit(1)).alias("m"), F.max(F.struct("score", "n", "at")).alias("hub")).where("l != h")
+        small = self.pairs_of(pairs.join(mixed.where(F.col("m") <= COMMON).select("key"), "key", "left_semi"), [], F.lit(True))
+        large = pairs.join(mixed.where(F.col("m") > COMMON).select("key", F.col("hub.at").alias("hub")), "key").select("at", "n", "of", "hub").distinct()
+        name, hub = self.nodes.select("at", F.col("node").alias("a")), self.nodes.select(F.col("at").alias("hub"), F.col("node").alias("b"))
+        told = written(large.join(name, "at").join(hub, "hub"), "hubs")
+        if told.isEmpty():
+            return small, told.select("a", "b")
+        x, y = self.sides(told)
+        work = _differences(self.spark.sparkContext.broadcast(self.counts), self.words, self.percent)
+        found = written(told.join(x, "a").join(y, "b").select("at", "n", "of", "hub", "a", "b", "x", "y").mapInArrow(work, "key long, at long, n int, of binary, d int, left int, a binary, b binary"), "differences")
+        # at its first shared difference a similar pair has enough differences left
+        shared = (100 + self.percent) * (F.col("dx") + F.col("dy") - 2 * F.least("leftx", "lefty")) <= (100 - self.percent) * (F.col("nx") + F.col("ny"))
+        far = self.pairs_of(found.where("key is not null"), ["d", "left"], shared)
+        return small.unionByName(far).distinct(), found.where("key is null").select("a", "b")
 
 
 def _at(node: str):
@@ -316,10 +378,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = written(join.first_pairs(entries), "first-pairs")
     near = join.links(first)
     classes = connected(near)
-    rest = written(join.rest_pairs(entries, classes).join(first, ["a", "b"], "left_anti"), "rest")
+    rest, more = join.rest(entries, classes)
+    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
     discard(entries, first)
-    if not rest.isEmpty():
-        classes = connected(near.unionByName(join.links(rest)))
+    classes = connected(near.unionByName(more).unionByName(join.links(rest)))
     owned = join.nodes.select("node", "least").join(classes, "node", "left").withColumn("of", F.coalesce("component", "node"))
     ids = owned.groupBy("of").agg(F.min("least").alias("component_id"))
     named = owned.join(ids, "of").select("node", "component_id")
