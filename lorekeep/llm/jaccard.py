@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import connected
-from lorekeep.llm.store import discard, prepare, written
+from lorekeep.llm.store import discard, leading_number, maybe_member, membership, prepare, written
 from lorekeep.llm.words import NOT_SPACE, mix, pieces
 
 #: Tokens are counted in so many cells; the order of tokens may be any, as long as it is one for all.
@@ -34,10 +34,7 @@ CELLS = 1 << 16
 COMMON = 32
 #: Tokens of cells above this multiple of the mean count are surely frequent; their rows are dealt to so many tasks.
 HOT, SALTS = 8, 64
-#: Bits of the filter of wanted nodes: 4 MB, whatever the corpus. It only saves work; above its size it lets more rows pass.
-FILTER_BITS = 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -245,13 +242,12 @@ _DIFFERENCE = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32
 def _texts(shared, width: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The text of each node that the filter lets pass, once a task."""
-        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        bits, seen = shared.value, set()
         for batch in batches:
             take, nodes = [], []
             for k, x in enumerate(token_sets(batch.column(0), width)):
                 node = name_of(x)
-                b = int.from_bytes(node[:8], "little") % FILTER_BITS
-                if len(x) > 1 and bits[b >> 3] >> (b & 7) & 1 and node not in seen:
+                if len(x) > 1 and node not in seen and maybe_member(bits, node):
                     seen.add(node)
                     take.append(k)
                     nodes.append(node)
@@ -274,7 +270,7 @@ class Join:
         self.counts = np.zeros(CELLS, np.int64)
         self.counts[cells["cell"]] = cells["n"]
         least = self.rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"))
-        self.nodes = written(least.withColumn("at", _at("node")), "nodes")
+        self.nodes = written(least.withColumn("at", leading_number("node")), "nodes")
 
     def alike(self, nx: str, ny: str):
         """Sizes that allow similarity."""
@@ -309,13 +305,8 @@ class Join:
     def sides(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The texts of the nodes of pairs (a, b), as (a, x) and as (b, y)."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # the place modulo the filter's bits, counted from 1 as Spark's bitmap functions do
-        bit = F.pmod(_at("node"), F.lit(FILTER_BITS)) + 1
-        found = wanted.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # at most FILTER_BITS / 32768 rows
-        bits = bytearray(FILTER_BITS // 8)
-        for r in found:
-            bits[(r.bucket - 1) * _BUCKET // 8 : r.bucket * _BUCKET // 8] = r.bits
-        passed = self.texts.mapInArrow(_texts(self.spark.sparkContext.broadcast(bytes(bits)), self.words), "node binary, text string")
+        bits = membership(wanted, "node")
+        passed = self.texts.mapInArrow(_texts(self.spark.sparkContext.broadcast(bits), self.words), "node binary, text string")
         texts = written(passed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "wanted")
         return tuple(texts.select(F.col("node").alias(p), F.col("text").alias(t)) for p, t in (("a", "x"), ("b", "y")))
 
@@ -361,11 +352,6 @@ class Join:
         return small.unionByName(far).distinct(), found.where("key is null").select("a", "b")
 
 
-def _at(node: str):
-    """The first eight bytes of a node's name as a little-endian number: where the index names it. A clash only makes more candidates."""
-    return F.expr(f"cast(conv(concat_ws('', reverse(transform(sequence(1, 8), i -> hex(substring({node}, i, 1))))), 16, -10) as long)")
-
-
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; null and empty texts link with nothing.
 

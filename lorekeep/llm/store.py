@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches to Python are held small, so that a batch of long texts fits into a worker.
@@ -70,3 +70,29 @@ def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5; rows where it is 0 are held out of all learning. Null ids are held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5, F.lit(0))
+
+
+#: Bits of a membership filter: 4 MB, whatever the corpus. Filters only save work: above their size more rows pass.
+FILTER_BITS = 1 << 25
+_BUCKET = 1 << 15  # bits of one bitmap of Spark's bitmap functions
+
+
+def leading_number(name: str) -> Column:
+    """The first eight bytes of a binary column as a little-endian signed number."""
+    return F.expr(f"cast(conv(concat_ws('', reverse(transform(sequence(1, 8), i -> hex(substring({name}, i, 1))))), 16, -10) as long)")
+
+
+def membership(keys: DataFrame, name: str) -> bytes:
+    """A bitmap with the place of every value of a binary column set: its leading number modulo FILTER_BITS."""
+    bit = F.pmod(leading_number(name), F.lit(FILTER_BITS)) + 1  # counted from 1, as Spark's bitmap functions do
+    found = keys.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # at most FILTER_BITS / 32768 rows
+    bits = bytearray(FILTER_BITS // 8)
+    for r in found:
+        bits[(r.bucket - 1) * _BUCKET // 8 : r.bucket * _BUCKET // 8] = r.bits
+    return bytes(bits)
+
+
+def maybe_member(bits: bytes, key: bytes) -> bool:
+    """False only if the key is not among those that the bitmap was made of."""
+    b = int.from_bytes(key[:8], "little") % FILTER_BITS
+    return bool(bits[b >> 3] >> (b & 7) & 1)
