@@ -1,9 +1,11 @@
 """Near copies of vectors by spherical-cap filters.
 
-Each block of a vector's coordinates has a small random code; a filter is one codeword of each block, and its
-score the sum of the blocks' products. A vector is listed under every filter that scores over a threshold.
-Vectors that share a filter (and a label) are compared; a pair counts only under the least filter that both
-have. Buckets are cut into blocks of bounded size, so no task meets a whole hot bucket.
+Each block of a vector's coordinates has a small random code (and there are CODES independent ones of these); a filter is one codeword of each block, and its
+score the sum of the blocks' products. A vector is listed under every filter that scores over a threshold, and
+vectors of one label that share a filter are candidates. Filters that few vectors have are joined with
+themselves on (label, filter, id) alone; candidates are first held against short codes with a known error and
+then against the vectors. Filters that many have (dense groups, whose links must all be counted) are compared
+block by block as matrices; a pair counts there only under the least such filter that both have.
 """
 
 from __future__ import annotations
@@ -17,22 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.graph import connected
-from lorekeep.llm.store import prepare, written
-
-#: Blocks of coordinates, codewords of each, and the threshold in standard deviations of a random score.
-BLOCKS, WORDS, CAP = 3, 24, 3.1
-#: A vector that exceeds the threshold for fewer filters is listed under this many best ones instead.
-LEAST = 24
-#: Distinct vectors of a bucket that one task compares with as many others.
-BLOCK_ROWS = 2000
+from lorekeep.llm.store import discard, prepare, written
+from lorekeep.llm.vectors import stacked, units, usable
+
+#: Independent codes, blocks of coordinates, codewords of each, and the threshold in standard deviations of a random score.
+CODES, BLOCKS, WORDS, CAP = 4, 3, 64, 4.1
+#: A vector that exceeds the threshold for fewer filters of a code is listed under this many best ones instead.
+LEAST = 10
+#: Filters of a label with more vectors are compared as matrices, of so many rows.
+DENSE, BLOCK_ROWS = 128, 2000
 SEED = 5
 
 
 class Filters:
-    """The random product code of `dim` coordinates."""
+    """A random product code of `dim` coordinates."""
 
-    def __init__(self, dim: int):
-        rng = np.random.default_rng(SEED)
+    def __init__(self, dim: int, number: int):
+        rng = np.random.default_rng([SEED, number])
         self.dim, self.turn = dim, np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.cuts = np.array_split(np.arange(dim), min(BLOCKS, dim))
         self.codes = []
@@ -41,60 +44,73 @@ class Filters:
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) * np.sqrt(len(c) / dim))
 
     def of(self, unit: np.ndarray) -> list[np.ndarray]:
-        """The sorted filters of each row of unit vectors, by extending lists block by block."""
+        """The filters of each row of unit vectors, by extending all rows' lists block by block."""
         turned = unit @ self.turn
         scores = [turned[:, c] @ code.T for c, code in zip(self.cuts, self.codes)]
-        best_rest = np.cumsum([s.max(1) for s in scores[::-1]], axis=0)[::-1]
-        limit, out = CAP / np.sqrt(self.dim), []
-        for i in range(len(unit)):
-            for bar in (limit, -np.inf):
-                ids, total = np.zeros(1, np.int64), np.zeros(1)
-                for k, s in enumerate(scores):
-                    rest = best_rest[k + 1][i] if k + 1 < len(scores) else 0.0
-                    total = (total[:, None] + s[i]).ravel()
-                    ids = (ids[:, None] * WORDS + np.arange(WORDS)).ravel()
-                    far = total + rest >= bar
-                    ids, total = ids[far], total[far]
-                if len(ids) >= LEAST:
-                    break
-            if bar < limit:
-                ids = ids[np.argsort(-total, kind="stable")[:LEAST]]
-            out.append(np.sort(ids))
+        rest = np.vstack([np.cumsum([s.max(1) for s in scores[::-1]], axis=0)[::-1][1:], np.zeros((1, len(unit)))])
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(unit)
+        left, bar = np.arange(len(unit)), CAP / np.sqrt(self.dim)
+        while len(left):
+            row, ids, total = np.arange(len(left)), np.zeros(len(left), np.int64), np.zeros(len(left))
+            for s, r in zip(scores, rest):
+                more = total[:, None] + s[left][row]
+                far, word = np.nonzero(more + r[left][row][:, None] >= bar)
+                row, ids, total = row[far], ids[far] * WORDS + word, more[far, word]
+            counts = np.bincount(row, minlength=len(left))
+            enough = (counts >= LEAST) | (counts >= WORDS ** len(self.cuts))
+            for k, (a, b) in enumerate(zip(np.append(0, np.cumsum(counts)), np.cumsum(counts))):
+                if enough[k]:
+                    mine = ids[a:b]
+                    if bar < CAP / np.sqrt(self.dim):
+                        mine = mine[np.argsort(-total[a:b], kind="stable")[:LEAST]]
+                    out[left[k]] = np.sort(mine)
+            left, bar = left[~enough], bar - 0.5 / np.sqrt(self.dim)
         return out
 
 
-def _usable(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The places of vectors without null or non-finite components that are not zero, and their values."""
-    at, rows = [], []
-    for k, v in enumerate(column):
-        x = np.array(v.as_py() or [0.0], dtype=object)
-        if all(c is not None for c in x):
-            x = x.astype(float)
-            if np.isfinite(x).all() and x.any():
-                at.append(k)
-                rows.append(x)
-    return np.array(at, np.int64), rows
+def lists(codes: list[Filters], unit: np.ndarray) -> list[np.ndarray]:
+    """The filters of all codes of each row."""
+    return [np.concatenate([f + k * WORDS**BLOCKS for k, f in enumerate(mine)]) for mine in zip(*(c.of(unit) for c in codes))]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    made: dict[int, Filters] = {}
+    """Each usable vector with its filters, its unit vector, and a code of one byte a coordinate and the code's error."""
+    made: dict[int, list[Filters]] = {}
     for batch in batches:
-        at, rows = _usable(batch.column("embedding"))
-        for dim in {len(x) for x in rows}:
-            made.setdefault(dim, Filters(dim))
-            mine = [k for k, x in enumerate(rows) if len(x) == dim]
-            for a in range(0, len(mine), 256):
-                part = mine[a : a + 256]
-                x = np.array([rows[k] for k in part])
-                x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
-                ids = made[dim].of(x)
-                where = np.repeat(np.arange(len(part)), [len(i) for i in ids])
+        at, rows = usable(batch.column("embedding"))
+        sizes = np.array([len(x) for x in rows])
+        for dim in np.unique(sizes).tolist():
+            code, mine = made.setdefault(dim, [Filters(dim, k) for k in range(CODES)]), np.flatnonzero(sizes == dim)
+            for a in range(0, len(mine), 64):
+                part = mine[a : a + 64]
+                u = units(np.array([rows[k] for k in part]))
+                step = np.abs(u).max(1, keepdims=True) / 127
+                short = np.rint(u / step).astype(np.int8)
+                error = np.linalg.norm(u - short * step, axis=1)
                 rec = batch.take(pa.array(at[part]))
-                every = pa.array([i.astype("<i4").tobytes() for i in ids], pa.binary())
-                raw = pa.array([v.astype("<f8").tobytes() for v in x], pa.binary())
-                for b in range(0, len(where), 4000):
-                    w = pa.array(where[b : b + 4000])
-                    yield pa.record_batch([rec.column("vec").take(w), rec.column("label").take(w), pa.array(np.full(len(w), dim, np.int32)), pa.array(np.concatenate(ids)[b : b + 4000].astype(np.int32)), every.take(w), raw.take(w), rec.column("copies").take(w)], names=["vec", "label", "dim", "filter", "filters", "unit", "copies"])
+                yield pa.record_batch([rec.column("vec"), rec.column("label"), pa.array(np.full(len(part), dim, np.int32)), pa.array(lists(code, u), pa.list_(pa.int64())), pa.array([x.tobytes() for x in u.astype("<f8")], pa.binary()), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(step[:, 0]), pa.array(error), rec.column("copies")], names=["vec", "label", "dim", "filters", "unit", "short", "step", "error", "copies"])
+
+
+def _possible(limit: float):
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                col = lambda c: batch.column(c).to_numpy()
+                about = np.einsum("ij,ij->i", stacked(batch.column("sx"), "i1").astype(np.int32), stacked(batch.column("sy"), "i1").astype(np.int32)) * col("tx") * col("ty")
+                slack = col("ex") + col("ey") * (1 + col("ex")) + 1e-9
+                yield batch.select(["a", "b"]).filter(pa.array(about + slack >= limit))
+
+    return possible
+
+
+def _exact(limit: float):
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.einsum("ij,ij->i", stacked(batch.column("x"), "<f8"), stacked(batch.column("y"), "<f8")) >= limit
+                yield batch.select(["a", "b", "nx", "ny"]).filter(pa.array(near))
+
+    return exact
 
 
 def _compare(limit: float):
@@ -107,25 +123,23 @@ def _compare(limit: float):
         part = rows["part"].to_numpy()
         if i != j:
             near &= part[:, None] != part[None, :]
-        lists = [np.frombuffer(f, "<i4") for f in rows["filters"]]
-        a, b = np.nonzero(np.triu(near))
-        sure = np.fromiter((np.intersect1d(lists[p], lists[q], assume_unique=True)[0] == bucket for p, q in zip(a, b)), bool, len(a))
-        a, b = a[sure], b[sure]
+        # a smaller dense filter of both has the pair already
+        smaller = [f[f < bucket] for f in rows["dense"]]
+        names, which = np.unique(np.concatenate(smaller) if len(smaller) else np.zeros(0, np.int64), return_inverse=True)
+        if len(names):
+            has = np.zeros((len(x), len(names)), np.float32)
+            has[np.repeat(np.arange(len(x)), [len(f) for f in smaller]), which] = 1
+            near &= has @ has.T == 0
         copies, ids = rows["copies"].to_numpy(), rows["vec"].to_numpy()
-        counts = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        root = np.arange(len(ids))
-
-        def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for p, q in zip(a.tolist(), b.tolist()):
-            p, q = find(p), find(q)
-            root[max(p, q)] = min(p, q)
+        counts, root = near @ copies, np.arange(len(ids))
+        while True:  # the least place of each class, by steps to the least neighbour's
+            least = np.minimum(root, np.where(near, root[None, :], len(ids)).min(1, initial=len(ids)))
+            least = least[least]
+            if (least == root).all():
+                break
+            root = least
         linked = np.flatnonzero(counts)
-        return pd.DataFrame({"a": ids[linked], "b": ids[[find(v) for v in linked.tolist()]] if len(linked) else ids[:0], "n": counts[linked].astype(np.int64)})
+        return pd.DataFrame({"a": ids[linked], "b": ids[root[linked]], "n": counts[linked].astype(np.int64)})
 
     return compare
 
@@ -134,25 +148,45 @@ def near_copies(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label).
 
     Equal vectors of a label are one, with its number of copies. Null labels and unusable vectors (null, zero,
-    null or non-finite components) have no links and are their own component. vec_id should be unique; rows
-    that repeat an id with an equal vector count as copies.
+    null or non-finite components) have no links and are their own component, as are rows without an id.
+    vec_id should be unique; rows that repeat an id with an equal vector count as copies. Vectors of unequal
+    length never link. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    same = rows.where("label is not null and embedding is not null and vec_id is not null").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"))
-    listed = written(same.mapInArrow(_listed, "vec long, label long, dim int, filter int, filters binary, unit binary, copies long"), "caps")
-    sizes = listed.groupBy("label", "dim", "filter").agg(F.count("*").alias("size"), F.max("copies").alias("most")).where("size > 1")
-    sized = listed.join(sizes.select("label", "dim", "filter", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("parts")), ["label", "dim", "filter"])
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
-    met = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("label", "dim", "filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vec", "filters", "unit", "copies")
-    found = written(met.groupBy("label", "dim", "filter", "i", "j").applyInPandas(_compare(limit), "a long, b long, n long"), "cap-links")
+    prepare(vectors.sparkSession)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # equal vectors meet by their digest; -0.0 and 0.0 are one value to Spark's grouping, and to its hash
+    hashed = rows.withColumn("digest", F.md5(F.to_csv(F.struct(F.concat_ws(",", F.col("embedding").cast("array<string>")))))).withColumn("whole", F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
+    same = hashed.where("whole").groupBy("label", "digest").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    listed = written(same.mapInArrow(_listed, "vec long, label string, dim int, filters array<long>, unit binary, short binary, step double, error double, copies long"), "caps")
+    held = listed.select("label", "dim", F.explode("filters").alias("filter"), "vec")
+    sizes = held.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = written(held.join(sizes, ["label", "dim", "filter"]), "filters")
+    # dense filters
+    thick = sized.where(F.col("size") > DENSE)
+    dense = thick.groupBy("vec").agg(F.sort_array(F.collect_list("filter")).alias("dense"))  # no more than a vector has filters
+    cut = thick.join(dense, "vec").join(listed.select("vec", "unit", "copies"), "vec").withColumn("parts", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("label", "dim", "filter", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vec", "dense", "unit", "copies")
+    blocks = cut.groupBy("label", "dim", "filter", "i", "j").applyInPandas(_compare(limit), "a long, b long, n long")
+    # the others
+    thin = sized.where(F.col("size") <= DENSE).select("label", "dim", "filter", "vec")
+    x, y = thin.withColumnRenamed("vec", "a"), thin.withColumnRenamed("vec", "b")
+    met = x.join(y, ["label", "dim", "filter"]).where("a < b").select("a", "b").distinct()
+    short = listed.select("vec", "short", "step", "error")
+    sx, sy = (short.select(F.col("vec").alias(v), F.col("short").alias(f"s{k}"), F.col("step").alias(f"t{k}"), F.col("error").alias(f"e{k}")) for v, k in (("a", "x"), ("b", "y")))
+    likely = met.join(sx, "a").join(sy, "b").mapInArrow(_possible(limit), "a long, b long")
+    full = listed.select("vec", "unit", "copies").join(dense, "vec", "left")
+    fx, fy = (full.select(F.col("vec").alias(v), F.col("unit").alias(k), F.col("copies").alias(f"n{k}"), F.col("dense").alias(f"d{k}")) for v, k in (("a", "x"), ("b", "y")))
+    apart = likely.join(fx, "a").join(fy, "b").where(~F.coalesce(F.arrays_overlap("dx", "dy"), F.lit(False))).select("a", "b", "x", "y", "nx", "ny")
+    links = apart.mapInArrow(_exact(limit), "a long, b long, nx long, ny long").select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("ny").alias("n")), F.struct(F.col("b").alias("of"), F.col("nx").alias("n")))).alias("half"))
+    # (a, b, n): n links of a, which is in b's class
+    found = written(links.select(F.col("half.of").alias("a"), "b", F.col("half.n").alias("n")).unionByName(links.select(F.col("a"), "b", F.lit(0).cast("long").alias("n"))).unionByName(blocks), "cap-links")
+    discard(sized)
     counts = found.groupBy(F.col("a").alias("vec")).agg(F.sum("n").alias("n"))
     classes = connected(found.select("a", "b"))
-    usable = listed.select("vec").distinct().withColumn("usable", F.lit(True))
-    known = same.select("label", "embedding", "vec", "copies").join(usable, "vec").join(counts, "vec", "left").join(classes, F.col("vec") == F.col("node"), "left")
-    known = known.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "vec").alias("of"))
-    out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
+    known = listed.select("vec", "copies").join(counts, "vec", "left").join(classes, F.col("vec") == F.col("node"), "left")
+    known = known.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "vec").alias("of"))
+    of = same.select(F.col("label").alias("l"), F.col("digest").alias("d"), "vec").join(known, "vec")
+    out = hashed.join(of, F.col("whole") & (F.col("label") == F.col("l")) & (F.col("digest") == F.col("d")), "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("of", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
