@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product with robust-pruned directed graphs, one per shard.
 
-Shards are ranges of the vectors' lengths, so a shard's vectors are about equally long. One more coordinate
+Shards are bands of the vectors' lengths, so a shard's vectors are about equally long. One more coordinate
 makes them exactly so, and the largest inner product is then the least distance. Vectors are inserted in growing
 batches: a greedy beam search proposes neighbours and relaxed distance pruning keeps diverse edges in both
 directions. Each graph is written once; a task searches one shard for one block of queries, and the best of all
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from lorekeep.llm.store import prepare, written
 from lorekeep.llm.vectors import stacked, usable
 
+#: The longest vector of a band over the shortest.
+BAND = 1.25
 #: Distinct vectors of a shard about; edges of a node; beam widths; relaxation of the pruning.
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4000, 32, 48, 96, 1.2
 #: Queries that a task searches in its shard, and those of them that are searched at once.
@@ -151,19 +153,19 @@ class Graph:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The graphs of one partition, which is a shard: one for each length of vectors."""
-    parts = [(b.column("node").to_numpy(), b.column("raw").to_pylist()) for b in batches if b.num_rows]
+    """The graphs of one partition: a shard for each of its bands and numbers of coordinates."""
+    parts = [(b.column("node").to_numpy(), b.column("raw").to_pylist(), b.column("band").to_numpy()) for b in batches if b.num_rows]
     if not parts:
         return
     nodes, raws = np.concatenate([p[0] for p in parts]), [r for p in parts for r in p[1]]
-    sizes, shard = np.array([len(r) // 8 for r in raws]), TaskContext.get().partitionId()
-    for dim in np.unique(sizes).tolist():
-        mine = np.flatnonzero(sizes == dim)
+    sizes, bands = np.array([len(r) // 8 for r in raws]), np.concatenate([p[2] for p in parts])
+    for dim, band in sorted({*zip(sizes.tolist(), bands.tolist())}):
+        mine, shard = np.flatnonzero((sizes == dim) & (bands == band)), f"{TaskContext.get().partitionId()}|{band}"
         graph = Graph(np.array([np.frombuffer(raws[k], "<f8") for k in mine]))
         for a in range(0, len(mine), 2000):
             some = mine[a : a + 2000]
             place = np.arange(a, a + len(some))
-            yield pa.record_batch([pa.array(np.full(len(some), dim, np.int32)), pa.array(np.full(len(some), shard, np.int32)), pa.array(place), pa.array(nodes[some]), pa.array([raws[k] for k in some], pa.binary()), pa.array([graph.edges[k].tobytes() for k in place], pa.binary()), pa.array(np.isin(place, graph.starts))], names=["dim", "shard", "place", "node", "raw", "edges", "begins"])
+            yield pa.record_batch([pa.array(np.full(len(some), dim, np.int32)), pa.array([shard] * len(some)), pa.array(place), pa.array(nodes[some]), pa.array([raws[k] for k in some], pa.binary()), pa.array([graph.edges[k].tobytes() for k in place], pa.binary()), pa.array(np.isin(place, graph.starts))], names=["dim", "shard", "place", "node", "raw", "edges", "begins"])
 
 
 def _search(k: int):
@@ -190,8 +192,8 @@ def _search(k: int):
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, rows = usable(batch.column("embedding"))
-        longest = [float(lengths(x[None])[0]) for x in rows]
-        yield pa.record_batch([batch.column("vec_id").take(pa.array(at)), pa.array([len(x) for x in rows], pa.int32()), pa.array(longest, pa.float64()), pa.array([(x + 0.0).astype("<f8").tobytes() for x in rows], pa.binary())], names=["vec_id", "dim", "long", "raw"])
+        band = [int(np.floor(np.log(lengths(x[None])[0]) / np.log(BAND))) for x in rows]
+        yield pa.record_batch([batch.column("vec_id").take(pa.array(at)), pa.array([len(x) for x in rows], pa.int32()), pa.array(band, pa.int32()), pa.array([(x + 0.0).astype("<f8").tobytes() for x in rows], pa.binary())], names=["vec_id", "dim", "band", "raw"])
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -205,11 +207,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = written(rows.mapInArrow(_usable, "vec_id long, dim int, long double, raw binary"), "vectors")
-    nodes = rows.groupBy("raw").agg(F.min("vec_id").alias("node"), F.first("long").alias("long"))
+    rows = written(rows.mapInArrow(_usable, "vec_id long, dim int, band int, raw binary"), "vectors")
+    nodes = rows.groupBy("raw").agg(F.min("vec_id").alias("node"), F.first("band").alias("band"))
     shards = max(1, -(-rows.count() // SHARD))
-    ranged = nodes.repartitionByRange(shards, F.col("long"), F.xxhash64("raw"))
-    graphs = written(ranged.select("node", "raw").mapInArrow(_build, "dim int, shard int, place long, node long, raw binary, edges binary, begins boolean"), "graphs")
+    ranged = nodes.repartitionByRange(shards, F.col("band"), F.xxhash64("raw"))
+    graphs = written(ranged.select("node", "raw", "band").mapInArrow(_build, "dim int, shard string, place long, node long, raw binary, edges binary, begins boolean"), "graphs")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "raw", "dim").distinct()
     blocks = max(1, -(-queries.count() // QUERIES))
     there = graphs.select(F.col("dim").alias("of"), F.col("shard").alias("there")).distinct()
