@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,20 +151,10 @@ class Graph:
         return np.pad(order, ((0, 0), (0, max(0, k - order.shape[1]))), constant_values=-1)
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The graphs of one partition: a shard for each of its bands and numbers of coordinates."""
-    parts = [(b.column("node").to_numpy(), b.column("raw").to_pylist(), b.column("band").to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    nodes, raws = np.concatenate([p[0] for p in parts]), [r for p in parts for r in p[1]]
-    sizes, bands = np.array([len(r) // 8 for r in raws]), np.concatenate([p[2] for p in parts])
-    for dim, band in sorted({*zip(sizes.tolist(), bands.tolist())}):
-        mine, shard = np.flatnonzero((sizes == dim) & (bands == band)), f"{TaskContext.get().partitionId()}|{band}"
-        graph = Graph(np.array([np.frombuffer(raws[k], "<f8") for k in mine]))
-        for a in range(0, len(mine), 2000):
-            some = mine[a : a + 2000]
-            place = np.arange(a, a + len(some))
-            yield pa.record_batch([pa.array(np.full(len(some), dim, np.int32)), pa.array([shard] * len(some)), pa.array(place), pa.array(nodes[some]), pa.array([raws[k] for k in some], pa.binary()), pa.array([graph.edges[k].tobytes() for k in place], pa.binary()), pa.array(np.isin(place, graph.starts))], names=["dim", "shard", "place", "node", "raw", "edges", "begins"])
+def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The graph of one shard."""
+    graph = Graph(np.array([np.frombuffer(v, "<f8") for v in rows["raw"]]))
+    return rows[["dim", "shard", "node", "raw"]].assign(place=np.arange(len(rows)), edges=[e.tobytes() for e in graph.edges], begins=np.isin(np.arange(len(rows)), graph.starts))
 
 
 def _search(k: int):
@@ -208,10 +197,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     prepare(spark)
     rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = written(rows.mapInArrow(_usable, "vec_id long, dim int, band int, raw binary"), "vectors")
-    nodes = rows.groupBy("raw").agg(F.min("vec_id").alias("node"), F.first("band").alias("band"))
-    shards = max(1, -(-rows.count() // SHARD))
-    ranged = nodes.repartitionByRange(shards, F.col("band"), F.xxhash64("raw"))
-    graphs = written(ranged.select("node", "raw", "band").mapInArrow(_build, "dim int, shard string, place long, node long, raw binary, edges binary, begins boolean"), "graphs")
+    nodes = rows.groupBy("raw", "dim", "band").agg(F.min("vec_id").alias("node"))
+    # a band of lengths is dealt to as many shards as it needs; there are at most a few thousand bands of doubles
+    bands = [(r.dim, r.band, -(-r["count"] // SHARD)) for r in nodes.groupBy("dim", "band").count().collect()]
+    parts = F.broadcast(spark.createDataFrame(bands, "dim int, band int, parts long"))
+    shard = F.concat_ws("|", "band", F.pmod(F.xxhash64("raw"), F.col("parts")))
+    dealt = nodes.join(parts, ["dim", "band"]).select("dim", shard.alias("shard"), "node", "raw")
+    graphs = written(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard string, node long, raw binary, place long, edges binary, begins boolean"), "graphs")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), "raw", "dim").distinct()
     blocks = max(1, -(-queries.count() // QUERIES))
     there = graphs.select(F.col("dim").alias("of"), F.col("shard").alias("there")).distinct()
