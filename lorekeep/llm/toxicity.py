@@ -174,20 +174,31 @@ def _model(kept: pd.DataFrame, heads: pd.DataFrame, common: pd.DataFrame, totals
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]]:
-    """The loss, and the logistic slope and intercept by Newton's method; with one class only, a flat fit."""
+    """The mean loss, and the logistic slope, never below zero, and intercept by Newton's method with halved steps; with one class only, a flat fit."""
     if len(np.unique(y)) < 2:
         return 0.0, (1.0, 0.0)
+    weight = np.ones(len(y))
     spread = x.std() or 1.0
-    z = np.column_stack([x / spread, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(2) * 1e-3, z.T @ (y - p) - 1e-3 * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    z, ridge = np.column_stack([x / spread, np.ones(len(x))]), 1e-2
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((weight * (np.logaddexp(0, m) - y * m)).sum() + ridge * w[0] ** 2 / 2)
+
+    w = np.array([0.0, np.log((weight * y).sum() / (weight * (1 - y)).sum())])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        gradient = z.T @ (weight * (p - y)) + [ridge * w[0], 0.0]
+        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-9])
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), (float(w[0] / spread), float(w[1]))
+    if w[0] < 0:
+        w = np.array([0.0, np.log((weight * y).sum() / (weight * (1 - y)).sum())])
+    return loss(w) / float(weight.sum()), (float(w[0] / spread), float(w[1]))
 
 
 def _scored(docs: DataFrame, models: list[Model], key: str, margins: tuple[float, ...] | None = None) -> DataFrame:
