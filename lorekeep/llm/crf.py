@@ -99,14 +99,19 @@ def fit(docs: DataFrame) -> Field:
     """Learn from documents with a language outside the held-out fifth; without any, the field has no languages."""
     prepare(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "lang")
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(counts)
     each = max(FEW, min(SAMPLE_DOCS, SAMPLE_DOCS * FULL // max(1, len(langs))))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    taken = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    # a first bar on the hash leaves about three times the wanted rows of each language, whatever the number of tasks
+    bars = F.broadcast(docs.sparkSession.createDataFrame([(x, (3.0 * each + 100) / n) for x, n in counts.items()], "of string, bar double"))
+    near = known.join(bars, known["lang"] == bars["of"]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("bar") * (1 << 30)).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    taken = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
     ids = [(r.doc_id, r.lang) for r in taken.select("doc_id", "lang").collect()]
     picked = F.broadcast(docs.sparkSession.createDataFrame(ids, "id long, as string"))
     texts = docs.join(picked, (docs["doc_id"] == picked["id"]) & (docs["lang"] == picked["as"])).where(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"], docs["text"])
-    rows = texts.mapInArrow(_runs, "doc_id long, lang string, words array<string>").collect()
+    # one run of each sampled id, however often the id is repeated
+    rows = texts.mapInArrow(_runs, "doc_id long, lang string, words array<string>").groupBy("doc_id", "lang").agg(F.max("words").alias("words")).collect()
     place = {x: k for k, x in enumerate(langs)}
     runs = [(place[r.lang], r.words) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.words))]
     runs = [(y, w) for y, w in runs if w]
@@ -176,8 +181,29 @@ def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def posteriors(model: Field, texts: list[str | None], known: dict[str, np.ndarray]) -> np.ndarray:
+class Emissions(dict):
+    """Places of words in a growing matrix of their emissions; forgotten between texts when there are too many."""
+
+    def __init__(self, model: Field):
+        super().__init__()
+        self.model, self.rows = model, np.empty((1024, len(model.langs)))
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.rows):
+            self.rows = np.vstack([self.rows, np.empty_like(self.rows)])
+        self.rows[at] = self.model.emission(word)
+        self[word] = at
+        return at
+
+    def trim(self) -> None:
+        if len(self) * max(len(self.model.langs), 8) > KNOWN * 8:
+            self.clear()
+
+
+def posteriors(model: Field, texts: list[str | None], known: Emissions | None = None) -> np.ndarray:
     """Mean probabilities of the languages over the words of each whole text; zeros without a letter."""
+    known = Emissions(model) if known is None else known
     k, out, low = len(model.langs), np.zeros((len(texts), len(model.langs))), 0
     while low < len(texts):  # whole batches where languages are few
         high, size = low + 1, len(texts[low] or "")
@@ -189,21 +215,15 @@ def posteriors(model: Field, texts: list[str | None], known: dict[str, np.ndarra
     return out
 
 
-def _posteriors(model: Field, texts: list[str | None], known: dict[str, np.ndarray]) -> np.ndarray:
+def _posteriors(model: Field, texts: list[str | None], known: Emissions) -> np.ndarray:
     k = len(model.langs)
     out, emitted = np.zeros((len(texts), k)), []
     for i, text in enumerate(texts):
         words = WORD.findall(text.lower()) if text else []
-        rows = []
-        for w in words:
-            e = known.get(w)
-            if e is None:
-                e = model.emission(w)
-                if len(known) * max(k, 8) < KNOWN * 8:
-                    known[w] = e
-            rows.append(e)
-        if rows:
-            emitted.append((i, np.array(rows)))
+        if words:
+            known.trim()
+            at = [known[w] for w in words]
+            emitted.append((i, known.rows[at]))
     emitted.sort(key=lambda x: len(x[1]))
     a = 0
     while a < len(emitted):  # sequences of similar length together
@@ -245,7 +265,8 @@ def identify(docs: DataFrame, model: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS * FULL weights up to 4096 languages, and then 1024 and as many as there are languages for each
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
+        known = Emissions(model)
         for batch in batches:
             if not model.langs:
                 yield pa.record_batch([batch.column(0), pa.array(["und"] * batch.num_rows), pa.array([0.0] * batch.num_rows)], names=["doc_id", "lang_pred", "score"])

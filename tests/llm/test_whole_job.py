@@ -86,7 +86,7 @@ def test_languages_are_learned_behind_a_shared_head(spark):
     head = "all rights reserved by the holders of this work " * 40 + "0123456789 " * 150
     rows = [(i, head + tongue(i % 3, i, 400), "xyz"[i % 3]) for i in range(90)]
     model = crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    best = crf.posteriors(model, [tongue(k, 1000 + k) for k in range(3)], {}).argmax(1)
+    best = crf.posteriors(model, [tongue(k, 1000 + k) for k in range(3)]).argmax(1)
     assert [model.langs[k] for k in best] == ["x", "y", "z"]
     assert len(crf.run_of(7, head + tongue(1, 1, 400))) == crf.RUN and crf.run_of(7, "Un deux") == ["un", "deux"]
     assert crf.run_of(7, "12 " * 600 + "mot") == ["mot"]
@@ -104,7 +104,7 @@ def test_rare_languages_are_learned_too(spark):
     rows = [(100 * k + i, tongue(k, i), f"l{k:03d}") for k in range(80) for i in range(40 if k else 3)]
     model = crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == [f"l{k:03d}" for k in range(80)] and model.weights.shape[0] < crf.BUCKETS
-    best = crf.posteriors(model, [tongue(k, 50) for k in range(80)], {}).argmax(1)
+    best = crf.posteriors(model, [tongue(k, 50) for k in range(80)]).argmax(1)
     assert np.mean(best == np.arange(80)) >= 0.7 and best[0] == 0
 
 
