@@ -46,3 +46,21 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by map-side max_by rather than a window."""
     row = F.struct(*[c for c in df.columns if c not in keys])
     return df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("row")).select(*keys, "row.*")
+
+
+def conversation_windows(events: DataFrame, seconds: int = 180, least_users: int = 2, least_chars: int = 5) -> DataFrame:
+    """session_id, bucket, n: windows of conversation that can be scored.
+
+    Windows count from a session's first conversational event, floored to the grid. Users' noise is dropped before;
+    sessions with fewer user turns, and windows without a user's text of some length or without an assistant, go.
+    """
+    from lorekeep.functions import markers
+
+    user = F.col("kind") == "user"
+    said = events.where(F.col("kind").isin("user", "assistant") & ~(user & (markers.is_noise(F.col("text")) | markers.is_interrupt(F.col("text")))))
+    us = said.select("session_id", F.unix_micros("ts").alias("us"), user.alias("user"), (user & (F.char_length(markers.strip(F.col("text"))) >= least_chars)).alias("real"))
+    size = seconds * 1_000_000
+    own = Window.partitionBy("session_id")
+    told = us.withColumn("origin", F.expr(f"min(us) OVER (PARTITION BY session_id) div {size} * {size}")).withColumn("users", F.sum(F.col("user").cast("int")).over(own)).where(F.col("users") >= least_users)
+    each = told.groupBy("session_id", F.expr(f"(us - origin) div {size}").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("real").alias("real"), F.max(~F.col("user")).alias("answered"))
+    return each.where("real and answered").select("session_id", "bucket", "n")

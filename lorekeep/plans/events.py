@@ -5,20 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.operators import timed
+from lorekeep.plans.registry import query
 from lorekeep.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query("SELECT event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
 def stats_span(spark, d):
@@ -52,7 +41,7 @@ def json_extract_props(spark, d):
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
-def heartbeat_upsert(spark, d):
+def latest_event(spark, d):
     return timed.latest(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "ts")
 
 
@@ -76,5 +65,5 @@ def unresolved_calls(spark, d):
 
 
 @query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_quantity > 40) AS large FROM lineitem GROUP BY l_returnflag")
-def result_error_by_name(spark, d):
+def flag_counts(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count(F.when(F.col("l_quantity") > 40, 1)).alias("large"))

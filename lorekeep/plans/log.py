@@ -8,22 +8,10 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import whole_words
 from lorekeep.operators import turns
 from lorekeep.operators.filters import Clause, keep, labelled
+from lorekeep.plans.registry import query
 from lorekeep.tables import table
 
 LONG = [Clause("min_words", 12), Clause("role", ("user", "assistant"))]
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL equivalent if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:

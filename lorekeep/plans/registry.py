@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
-from lorekeep.plans import events, log, review, text
+import importlib
 
 QUERIES, ORACLES = {}, {}
-for module in (log, events, text, review):
-    QUERIES |= module.QUERIES
-    ORACLES |= module.ORACLES
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL equivalent if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Import the modules of queries, which register themselves."""
+    for name in ("log", "events", "text", "review", "sessions", "ledgers"):
+        importlib.import_module(f"lorekeep.plans.{name}")

@@ -4,20 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorekeep.plans.registry import query
 from lorekeep.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def unjudged(spark, d):
@@ -37,5 +26,5 @@ def verdict_metrics(spark, d):
 
 
 @query("SELECT a.doc_id FROM labels a JOIN documents d ON a.doc_id = d.doc_id WHERE a.quality = 1 AND a.toxic = 1")
-def flip_pairs(spark, d):
+def good_and_toxic(spark, d):
     return table(spark, d, "labels").where("quality = 1 AND toxic = 1").join(table(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id")

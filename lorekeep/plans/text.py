@@ -6,29 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
+from lorekeep.plans.registry import query
 from lorekeep.tables import table
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b(the|und|les)\\b')) AS hits FROM documents WHERE regexp_matches(text, '(?i)\\b(the|und|les)\\b')")
 def grep_hits(spark, d):
     p = tx.whole_words("the", "und", "les")
-    return table(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("hits"))
+    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(p)).cast("long").alias("hits")).where("hits > 0")
 
 
 @query("SELECT doc_id, i::INT AS line, s AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(s, '\\bthe\\b')")
-def grep_context(spark, d):
+def grep_lines(spark, d):
     return tx.matching_lines(table(spark, d, "documents"), "doc_id", "text", r"\bthe\b")
 
 
@@ -48,14 +37,14 @@ def clip(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clip(F.col("text"), 40).alias("clip"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 @query("""WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT label, i, avg(x) AS m FROM v GROUP BY label, i) SELECT label, round(sqrt(sum(m*m)), 6) AS norm FROM c GROUP BY label""")
-def centroid_overlap(spark, d):
+def centroid_norms(spark, d):
     v = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     c = v.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return c.groupBy("label").agg(F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 6).alias("norm"))
@@ -65,9 +54,9 @@ def centroid_overlap(spark, d):
 SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 10""")
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").select("embedding").first()
-    probe = F.array(*[F.lit(float(x)) for x in first[0]])
-    return e.where("vec_id != 0").select("vec_id", F.round(tx.cosine(F.col("embedding"), probe), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    probe = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("probe")))  # one row, or none
+    scored = e.where("vec_id != 0").join(probe).select("vec_id", F.round(tx.cosine(F.col("embedding"), F.col("probe")), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(10)
 
 
 @query("SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || doc_id::VARCHAR)) <= 3")

@@ -1,12 +1,16 @@
 """Every query with SQL gives the rows that DuckDB gives on the same tables."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from lorekeep.plans import registry
 
-DIR = "/root/testdata/sf0.001"
+registry.load()
+
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
