@@ -25,7 +25,7 @@ def clip(text: Column, limit: int) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes in B, KB, MB, GB or TB of 1024, with one digit behind the point from KB on."""
-    step = lambda k, unit: F.concat(F.format_string("%.1f", n / float(1 << k)), F.lit(unit))
+    step = lambda k, unit: F.concat(F.format_string("%.1f", F.bround(n / float(1 << k), 1)), F.lit(unit))
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, step(10, "KB")).when(n < 1 << 30, step(20, "MB")).when(n < 1 << 40, step(30, "GB")).otherwise(step(40, "TB"))
 
 
