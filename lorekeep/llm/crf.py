@@ -7,9 +7,11 @@ words of several documents follow each other; forward-backward gives each word's
 
 from __future__ import annotations
 
+import functools
+import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,13 +34,35 @@ STEPS, RATE = 40, 0.3
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
+class Hashed(dict):
+    """Buckets of strings behind a mark, remembered."""
+
+    def __init__(self, mark: str, buckets: int):
+        super().__init__()
+        self.mark, self.buckets = mark, buckets
+
+    def __missing__(self, x: str) -> int:
+        if len(self) > KNOWN:
+            self.clear()
+        self[x] = found = zlib.crc32((self.mark + x).encode()) % self.buckets
+        return found
+
+
+@functools.lru_cache(maxsize=4)
+def _hashes(buckets: int) -> tuple[Hashed, Hashed, Hashed]:
+    return Hashed("p", buckets), Hashed("s", buckets), Hashed("g", buckets)
+
+
 def features(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of the word, its affixes and n-grams."""
+    first, last, gram = _hashes(buckets)
     w = word[:LETTERS]
-    named = [f"w{word}", *[f"p{w[:k]}" for k in (1, 2, 3)], *[f"s{word[-k:]}" for k in (1, 2, 3)]]
     marked = f"^{w}$"
-    named += [f"g{marked[k : k + n]}" for n in (2, 3) for k in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode()) % buckets for x in named]
+    n = len(marked)
+    out = [zlib.crc32(b"w" + word.encode()) % buckets, first[w[:1]], first[w[:2]], first[w[:3]], last[word[-1:]], last[word[-2:]], last[word[-3:]]]
+    out += [gram[marked[k : k + 2]] for k in range(n - 1)]
+    out += [gram[marked[k : k + 3]] for k in range(n - 2)]
+    return out
 
 
 @dataclass
@@ -182,23 +206,27 @@ def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class Emissions(dict):
-    """Places of words in a growing matrix of their emissions; forgotten between texts when there are too many."""
+    """Places of words in a growing matrix of their emissions; forgotten between batches when there are too many."""
 
     def __init__(self, model: Field):
         super().__init__()
         self.model, self.rows = model, np.empty((1024, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.vstack([self.rows, np.empty_like(self.rows)])
-        self.rows[at] = self.model.emission(word)
-        self[word] = at
-        return at
-
-    def trim(self) -> None:
+    def learn(self, words: Iterable[str]) -> None:
+        """Give every word a place, those that are new all at once."""
         if len(self) * max(len(self.model.langs), 8) > KNOWN * 8:
             self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        step = max(1, HELD // (64 * self.rows.shape[1]))
+        for a in range(0, len(new), step):
+            lists = [self.model.buckets(w) for w in new[a : a + step]]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
+            found, have = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes), len(self)
+            if have + len(found) > len(self.rows):
+                self.rows = np.vstack([self.rows[:have], np.empty((max(have, len(found)) * 2, self.rows.shape[1]))])
+            self.rows[have : have + len(found)] = found
+            self.update(zip(new[a : a + step], range(have, have + len(found))))
 
 
 def posteriors(model: Field, texts: list[str | None], known: Emissions | None = None) -> np.ndarray:
@@ -217,13 +245,10 @@ def posteriors(model: Field, texts: list[str | None], known: Emissions | None =
 
 def _posteriors(model: Field, texts: list[str | None], known: Emissions) -> np.ndarray:
     k = len(model.langs)
-    out, emitted = np.zeros((len(texts), k)), []
-    for i, text in enumerate(texts):
-        words = WORD.findall(text.lower()) if text else []
-        if words:
-            known.trim()
-            at = [known[w] for w in words]
-            emitted.append((i, known.rows[at]))
+    out = np.zeros((len(texts), k))
+    words = [WORD.findall(text.lower()) if text else [] for text in texts]
+    known.learn(itertools.chain.from_iterable(words))
+    emitted = [(i, known.rows[list(map(known.__getitem__, ws))]) for i, ws in enumerate(words) if ws]
     emitted.sort(key=lambda x: len(x[1]))
     a = 0
     while a < len(emitted):  # sequences of similar length together
