@@ -68,31 +68,33 @@ def rates(docs: DataFrame, weights: dict[str, float], size: float | None = None)
 def replicate(docs: DataFrame, weights: dict[str, float], size: float | None = None, seed: int = 0) -> DataFrame:
     """The columns of docs and `copy` (from 0): each row as often as its Poisson number says, maybe never.
 
-    Rows with equal doc_id and text get the same number. Empty tables give no rows. Rows of sources with rates
-    above PART, of which there are few for the copies they make, have their copies made by many tasks.
+    Rows with equal doc_id get the same number. Empty tables give no rows; a `copy` column of docs gives way to
+    this one, all others stay. Rows of sources with rates above PART, of which there are few for the copies they
+    make, have their copies made by many tasks.
     """
     spark = docs.sparkSession
-    found = rates(docs, weights, size)
+    docs = docs.drop("copy")
+    found = rates(docs, weights, size).select(F.col("of").alias("_of"), F.col("rate").alias("_rate"))
     rows = found.limit(BROADCAST_SOURCES + 1).collect()
     few = len(rows) <= BROADCAST_SOURCES
     if few:
         found = spark.createDataFrame([tuple(r) for r in rows], found.schema)
-    large = any(r.rate > PART for r in rows) if few else not found.where(F.col("rate") > PART).isEmpty()
-    n = poisson(F.col("rate"), uniform(F.lit(seed), F.col("doc_id")))
+    large = any(r._rate > PART for r in rows) if few else not found.where(F.col("_rate") > PART).isEmpty()
+    n = poisson(F.col("_rate"), uniform(F.lit(seed), F.col("doc_id")))
 
     def parts(which: DataFrame) -> DataFrame:
-        joined = docs.join(F.broadcast(which) if few else which, docs["source"].eqNullSafe(which["of"])).withColumn("_copies", n).where("_copies > 0")
+        joined = docs.join(F.broadcast(which) if few else which, docs["source"].eqNullSafe(which["_of"])).withColumn("_copies", n).where("_copies > 0")
         return joined.select(*[docs[c] for c in docs.columns], "_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(PART).cast("long"))).alias("_from"))
 
-    made = parts(found.where(F.col("rate") <= PART) if large else found)
+    made = parts(found.where(F.col("_rate") <= PART) if large else found)
     if large:
-        dealt = parts(found.where(F.col("rate") > PART)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_from")
+        dealt = parts(found.where(F.col("_rate") > PART)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_from")
         made = made.unionByName(dealt)
     last = F.least(F.col("_copies"), F.col("_from") + PART) - 1
     return made.select(*docs.columns, F.explode(F.sequence("_from", last)).alias("copy"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], size: float | None = None, seed: int = 0) -> DataFrame:
-    """Replicated documents in a global random order; `place` is the number they are ordered by."""
-    copies = replicate(docs, weights, size, seed)
+    """Replicated documents in a global random order; `place` is the number they are ordered by, instead of any column of that name."""
+    copies = replicate(docs.drop("place"), weights, size, seed)
     return copies.withColumn("place", uniform(F.lit(seed), F.lit("place"), F.col("doc_id"), F.col("copy"))).orderBy("place", "doc_id", "copy")
