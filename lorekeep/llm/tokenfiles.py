@@ -46,6 +46,8 @@ class ShardWriter:
         self.entries.append((doc_id, self.total, len(ids)))
         self.total += len(ids)
         self.docs += 1
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise OverflowError(f"a token id does not fit into {self.dtype}")
         self.pending.append(ids.astype(self.dtype))
         self.held += len(ids)
         if self.held >= self.size:
