@@ -27,6 +27,8 @@ from lorekeep.llm.words import ALNUM, mix, pieces
 SAMPLE_ROWS = 10_000
 #: Words and bigrams that the model keeps, at most; the most frequent stay.
 KEPT_WORDS, KEPT_BIGRAMS = 100_000, 100_000
+#: Occurrences in the sample from which on a bigram is kept.
+LEAST_BIGRAM = 3
 #: Characters of a word's beginning.
 HEAD = 4
 #: Discounts of the toxic class, length exponents, and least differences of a word's log-probabilities to choose from by the likelihood of calibration labels.
@@ -97,7 +99,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = [tuple(r) for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(rows).collect()]
     ids = F.broadcast(spark.createDataFrame(picked, "id long, toxic int, part int"))
-    taken = docs.join(ids, docs["doc_id"] == ids["id"]).select("toxic", "part", docs["text"])
+    taken = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").select("toxic", "part", "text")
     return taken.withColumn("same", F.md5("text")).dropDuplicates(["toxic", "same"]).drop("same")
 
 
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     heads = words.groupBy("head").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("after"))
     heads = heads.orderBy(F.desc(F.col("n0") + F.col("n1")), "head").limit(KEPT_WORDS).toPandas()
     heads = heads.assign(head=heads["head"].to_numpy().view(np.uint64)).sort_values("head", ignore_index=True)
-    common = pairs.where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(KEPT_BIGRAMS).toPandas()
+    common = pairs.where(F.col("n0") + F.col("n1") >= LEAST_BIGRAM).orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(KEPT_BIGRAMS).toPandas()
     n_pairs = pairs.count()
     models = [_model(kept, heads, common, np.array(totals[:2]), totals[4], n_pairs, d) for d in DISCOUNTS]
     tried = _scored(taken.where("part = 0").select("toxic", "text"), models, "toxic", MARGINS).toPandas()
@@ -201,25 +203,31 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float
     return loss(w) / float(weight.sum()), (float(w[0] / spread), float(w[1]))
 
 
+def _sums(column: pa.Array, models: list[Model], margins: tuple[float, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's difference of log-likelihoods under each model and margin, and its number of words."""
+    n = len(column)
+    sums, words = np.zeros((n, len(models) * len(margins or [0]))), np.zeros(n)
+    for piece in pieces(column, ALNUM):
+        if len(piece.row):
+            first, h, head = np.append(True, piece.row[1:] != piece.row[:-1]), piece.hashes(), piece.hashes(piece.heads(HEAD))
+            row, k = piece.first + piece.row, 0
+            for model in models:
+                terms = model.terms(h, head, first)
+                for margin in margins or [model.margin]:
+                    sums[:, k] += np.bincount(row, np.where(np.abs(terms) >= margin, terms, 0.0), n)
+                    k += 1
+            words += np.bincount(row, minlength=n)
+    return sums, words
+
+
 def _scored(docs: DataFrame, models: list[Model], key: str, margins: tuple[float, ...] | None = None) -> DataFrame:
     """key, sums, words: each row's difference of log-likelihoods under each model and margin, and its number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # at most KEPT_WORDS and KEPT_BIGRAMS entries each
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
         for batch in batches:
-            n, width = batch.num_rows, len(models) * len(margins or [0])
-            sums, words = np.zeros((n, width)), np.zeros(n)
-            for piece in pieces(batch.column(1), ALNUM):
-                if len(piece.row):
-                    first, h, head = np.append(True, piece.row[1:] != piece.row[:-1]), piece.hashes(), piece.hashes(piece.heads(HEAD))
-                    row, k = piece.first + piece.row, 0
-                    for model in models:
-                        terms = model.terms(h, head, first)
-                        for margin in margins or [model.margin]:
-                            sums[:, k] += np.bincount(row, np.where(np.abs(terms) >= margin, terms, 0.0), n)
-                            k += 1
-                    words += np.bincount(row, minlength=n)
+            sums, words = _sums(batch.column(1), shared.value, margins)
+            n, width = sums.shape
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(sums.ravel()))
             yield pa.record_batch([batch.column(0).cast(pa.int64()), lists, pa.array(words)], names=["key", "sums", "words"])
 
@@ -236,3 +244,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("sums")[0] / F.pow(F.greatest("words", F.lit(1.0)), F.lit(model.exponent)) + F.lit(intercept)))) if model.known else F.lit(0.0)
     scored = _scored(docs, [model], "doc_id").select(F.col("key").alias("doc_id"), p.alias("score"))
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose own text the model does not call toxic, with all their columns.
+
+    Ids play no part: rows with null or repeated ids are judged like any other.
+    """
+    prepare(docs.sparkSession)
+    if not model.known:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            sums, words = _sums(batch.column("text"), [model])
+            x = model.scale[0] * sums[:, 0] / np.maximum(words, 1.0) ** model.exponent + model.scale[1]
+            yield batch.filter(pa.array(x < 0))
+
+    return docs.mapInArrow(keep, docs.schema)
