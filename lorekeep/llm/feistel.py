@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from lorekeep.llm.store import prepare
 
 ROUNDS = 8
-KEY = b"pseudonyms"
 LAST_DAY = datetime.date(2099, 12, 31).toordinal()
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 KNOWN = 100_000
@@ -306,11 +305,14 @@ def _gaps(found: list[tuple[int, int, str]], size: int) -> list[tuple[int, int]]
 def pseudonymise(docs: DataFrame, key: bytes | None = None, column: str = "text") -> DataFrame:
     """The rows of docs with values in `column` replaced, and `n_values` replaced in each.
 
-    The key is LOREKEEP_PII_KEY of the driver's environment unless given. Null and empty texts stay, all
-    other columns too; equal rows get equal results.
+    The key is LOREKEEP_PII_KEY of the driver's environment unless given; there is no default, as whoever has the
+    key can invert every pseudonym. Null and empty texts stay, all other columns too, but an `n_values` of docs
+    gives way to this one; equal rows get equal results.
     """
     prepare(docs.sparkSession)
-    key = key or os.environ.get("LOREKEEP_PII_KEY", "").encode() or KEY
+    key = key or os.environ.get("LOREKEEP_PII_KEY", "").encode()
+    if not key:
+        raise ValueError("a key is needed: pass one or set LOREKEEP_PII_KEY")
     rest = [c for c in docs.columns if c != "n_values"]
     schema = docs.select(rest).schema.add("n_values", "long")
 

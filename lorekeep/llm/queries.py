@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import caps, crf, feistel, jaccard, mixing, packing, tokenfiles, toxicity, vamana, warc
 from lorekeep.tables import table
 
 
+#: For the test tables only: whoever has a key can invert the pseudonyms made with it.
+TEST_KEY = b"pseudonyms"
+
+
+def pii_key() -> bytes:
+    """The key of the driver's environment, else the one for test tables."""
+    return os.environ.get("LOREKEEP_PII_KEY", "").encode() or TEST_KEY
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +56,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_values")
+    return feistel.pseudonymise(table(spark, sf_dir, "documents"), pii_key()).select("doc_id", "text", "n_values")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
