@@ -9,28 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import feistel, jaccard, mixing, packing, toxicity
+from lorekeep.llm.queries import pii_key
 from lorekeep.llm.store import written
 from lorekeep.tables import table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model accepts. A doc_id goes if any of its rows is rejected; null ids stay."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the toxicity model accepts; every row is judged by its own text."""
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies; five-word shingles, similarity 0.8."""
-    classes = jaccard.components(docs, words=5, percent=80)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return once.select(*docs.columns)
+    """The document with the least id of each class of near copies; five-word shingles, similarity 0.8.
+
+    Equal rows stay once. Rows without an id come behind those with one, in the order of their texts' hashes.
+    """
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    classes = jaccard.components(named.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return named.join(kept, "_id", "left_semi").dropDuplicates(["_id", "text"]).select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced; n_chars follows the new text."""
-    swapped = feistel.pseudonymise(docs)
+    swapped = feistel.pseudonymise(docs, pii_key())
     return swapped.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
