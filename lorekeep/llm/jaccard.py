@@ -6,11 +6,12 @@ more, one for each subclass that frequent tokens are dealt to. Tokens that few p
 Tokens that more than COMMON prefixes have are indexed in pairs of one subclass: of the shared tokens of two
 similar sets' prefixes one is rare, or two lie in one subclass. So no similar pair is missed, at any size.
 
-Before pairs of frequent tokens are made, the sets of each frequent token meet one or two hubs of theirs, which
-joins large groups of copies without pairing their members; pairs of tokens are made only where sets of several
-classes still share a token. Where many sets share a pair, each is written as its differences from the entry's
+Before anything else is compared, the sets of each token meet one or two hubs of theirs, which joins groups of
+copies without pairing their members. Where sets of several classes still share a rare token, those of different
+classes are compared; pairs of frequent tokens are made only where sets of several classes share one. Where many sets share a pair, each is written as its differences from the entry's
 hub: two sets that are similar, of which one is not similar to the hub, share a difference. So prefixes of the
-differences are indexed, which few sets share. Candidates are first held against an upper bound of their overlap
+differences are indexed, which few sets share. The sets of these indexes meet hubs of theirs once more, and what is
+then still of different classes is compared pair by pair. Candidates are first held against an upper bound of their overlap
 from parity bitmaps, which no similar pair fails, and then against their whole texts.
 """
 
@@ -34,6 +35,8 @@ CELLS = 1 << 16
 COMMON = 32
 #: Tokens of cells above this multiple of the mean count are surely frequent; their rows are dealt to so many tasks.
 HOT, SALTS = 8, 64
+#: Keys whose hubs a set meets before sets of different classes are compared with each other. It only saves work.
+MEETINGS = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,7 +280,7 @@ class Join:
         return 100 * F.least(nx, ny) >= self.percent * F.greatest(nx, ny)
 
     def entries(self) -> DataFrame:
-        """Rows (key, at, n, score, often, low, high) of all tokens that several prefixes have.
+        """Rows (key, at, n, score, m, often, low, high) of all tokens that several prefixes have.
 
         The hubs low and high are the least set and the one with the most frequent tokens, which is in the midst of its copies.
         """
@@ -288,7 +291,7 @@ class Join:
         every = Window.partitionBy("key", "salt")
         low, high = F.struct("n", "at"), F.max(F.struct("score", "n", "at")).over(every)
         sized = whole.select("key", "at", "n", "score", "hot", F.count(F.lit(1)).over(every).alias("m"), F.min(low).over(every).alias("low"), F.struct(high["n"].alias("n"), high["at"].alias("at")).alias("high"))
-        return written(sized.where("m > 1 or hot").select("key", "at", "n", "score", (F.col("hot") | (F.col("m") > COMMON)).alias("often"), "low", "high"), "entries")
+        return written(sized.where("m > 1 or hot").select("key", "at", "n", "score", F.col("m").cast("int").alias("m"), (F.col("hot") | (F.col("m") > COMMON)).alias("often"), "low", "high"), "entries")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Edges (a, b) of nodes whose sets are similar enough, of candidate pairs (a, b) of places."""
@@ -311,13 +314,10 @@ class Join:
         return tuple(texts.select(F.col("node").alias(p), F.col("text").alias(t)) for p, t in (("a", "x"), ("b", "y")))
 
     def first_pairs(self, entries: DataFrame) -> DataFrame:
-        """All pairs that share a rare token, and the sets of frequent tokens with their hubs."""
-        rare = entries.where("not often")
-        x, y = rare.select("key", F.col("at").alias("a"), F.col("n").alias("nx")), rare.select("key", F.col("at").alias("b"), F.col("n").alias("ny"))
-        alone = x.join(y, "key").where((F.col("a") < F.col("b")) & self.alike("nx", "ny")).select("a", "b")
-        met = entries.where("often").select("at", "n", F.explode(F.array("low", "high")).alias("hub"))
+        """The sets of each token with their hubs: where only two sets have a token, these two."""
+        met = entries.select("at", "n", F.explode(F.array("low", "high")).alias("hub"))
         met = met.where((F.col("at") != F.col("hub.at")) & self.alike("n", "hub.n"))
-        return alone.unionByName(met.select(F.least("at", "hub.at").alias("a"), F.greatest("at", "hub.at").alias("b"))).distinct()
+        return met.select(F.least("at", "hub.at").alias("a"), F.greatest("at", "hub.at").alias("b")).distinct()
 
     def classed(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """Those rows (key, at, n) of entries that hold several classes, with the class as `of`."""
@@ -331,25 +331,45 @@ class Join:
         x, y = (rows.select("key", F.col("at").alias(p), *[F.col(c).alias(c + s) for c in ("n", "of", *more)]) for p, s in (("a", "x"), ("b", "y")))
         return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ofx") != F.col("ofy")) & self.alike("nx", "ny") & test).select("a", "b").distinct()
 
-    def rest(self, entries: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs of different classes that share two frequent tokens of a subclass, and edges found on the way."""
+    def indexed(self, entries: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index rows (key, at, n, of, by, d, left) of what sets of different classes still share, and edges found on the way.
+
+        Keys are rare tokens, pairs of frequent tokens of a subclass, and differences from a hub, which have d and left.
+        """
+        none = F.lit(None).cast("int")
+        plain = lambda df: df.select("key", "at", "n", "of", (-F.col("score")).cast("float").alias("by"), none.alias("d"), none.alias("left"))
+        few = plain(self.classed(entries.where("not often and m > 2").select("key", "at", "n", "score"), classes))
         often = self.classed(entries.where("often").select("key", "at", "n", "score"), classes)
         by_set = often.groupBy("at", "n").agg(F.first("of").alias("of"), F.first("score").alias("score"), F.collect_list("key").alias("keys"))  # no longer than a prefix
         pairs = written(by_set.select("at", "n", "of", "score", "keys").mapInArrow(_combined(self.percent), "key long, at long, n int, of binary, score float"), "combinations")
         mixed = pairs.groupBy("key").agg(F.min("of").alias("l"), F.max("of").alias("h"), F.count(F.lit(1)).alias("m"), F.max(F.struct("score", "n", "at")).alias("hub")).where("l != h")
-        small = self.pairs_of(pairs.join(mixed.where(F.col("m") <= COMMON).select("key"), "key", "left_semi"), [], F.lit(True))
+        small = plain(pairs.join(mixed.where(F.col("m") <= COMMON).select("key"), "key", "left_semi"))
         large = pairs.join(mixed.where(F.col("m") > COMMON).select("key", F.col("hub.at").alias("hub")), "key").select("at", "n", "of", "hub").distinct()
         name, hub = self.nodes.select("at", F.col("node").alias("a")), self.nodes.select(F.col("at").alias("hub"), F.col("node").alias("b"))
         told = written(large.join(name, "at").join(hub, "hub"), "hubs")
         if told.isEmpty():
-            return small, told.select("a", "b")
+            return written(few.unionByName(small), "index"), told.select("a", "b")
         x, y = self.sides(told)
         work = _differences(self.spark.sparkContext.broadcast(self.counts), self.words, self.percent)
         found = written(told.join(x, "a").join(y, "b").select("at", "n", "of", "hub", "a", "b", "x", "y").mapInArrow(work, "key long, at long, n int, of binary, d int, left int, a binary, b binary"), "differences")
+        far = found.where("key is not null").select("key", "at", "n", "of", F.col("d").cast("float").alias("by"), "d", "left")
+        return written(few.unionByName(small).unionByName(far), "index"), found.where("key is null").select("a", "b")
+
+    def meetings(self, index: DataFrame) -> DataFrame:
+        """Pairs of each set with the hubs of its keys that most sets have, of MEETINGS keys at most; all others are compared later."""
+        hub = index.groupBy("key").agg(F.min(F.struct("by", "at", "n", "of")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 2")
+        met = index.join(hub, "key").where((F.col("of") != F.col("hub.of")) & self.alike("n", "hub.n"))
+        most = Window.partitionBy("at").orderBy(F.desc("m"), "key")  # no more rows than a set has keys
+        met = met.withColumn("r", F.row_number().over(most)).where(F.col("r") <= MEETINGS)
+        return met.select(F.least("at", "hub.at").alias("a"), F.greatest("at", "hub.at").alias("b")).distinct()
+
+    def rest(self, index: DataFrame, classes: DataFrame) -> DataFrame:
+        """The candidate pairs of sets that are still of different classes."""
+        named = self.nodes.select("at", "node").join(classes, "node", "left").select("at", F.coalesce("component", "node").alias("of"))
+        rows = index.drop("of").join(named, "at")
         # at its first shared difference a similar pair has enough differences left
         shared = (100 + self.percent) * (F.col("dx") + F.col("dy") - 2 * F.least("leftx", "lefty")) <= (100 - self.percent) * (F.col("nx") + F.col("ny"))
-        far = self.pairs_of(found.where("key is not null"), ["d", "left"], shared)
-        return small.unionByName(far).distinct(), found.where("key is null").select("a", "b")
+        return self.pairs_of(rows, ["d", "left"], F.coalesce(shared, F.lit(True)))
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -364,10 +384,12 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = written(join.first_pairs(entries), "first-pairs")
     near = join.links(first)
     classes = connected(near)
-    rest, more = join.rest(entries, classes)
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    discard(entries, first)
-    classes = connected(near.unionByName(more).unionByName(join.links(rest)))
+    index, more = join.indexed(entries, classes)
+    second = written(join.meetings(index).join(first, ["a", "b"], "left_anti"), "meetings")
+    near = near.unionByName(more).unionByName(join.links(second))
+    rest = written(join.rest(index, connected(near)).join(first.unionByName(second), ["a", "b"], "left_anti"), "rest")
+    discard(entries, first, second, index)
+    classes = connected(near.unionByName(join.links(rest)))
     owned = join.nodes.select("node", "least").join(classes, "node", "left").withColumn("of", F.coalesce("component", "node"))
     ids = owned.groupBy("of").agg(F.min("least").alias("component_id"))
     named = owned.join(ids, "of").select("node", "component_id")
