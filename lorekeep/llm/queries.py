@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import caps, crf, feistel, jaccard, mixing, packing, tokenfiles, toxicity, vamana, warc
+from lorekeep.llm import caps, crf, divergence, feistel, jaccard, mixing, packing, tokenfiles, toxicity, vamana, warc
 from lorekeep.tables import table
 
 
@@ -63,11 +63,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op3_pruned_graph, op4_language_crf, op5_spherical_caps, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, ranks=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op3_pruned_graph, op4_language_crf, op5_spherical_caps, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files, op13_source_divergence)}
 #: Tokenizers, trained models, keyed permutations and binary files are beyond SQL; the tests hold them against plain versions.
 ORACLES: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
 k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h)
 SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p LEFT JOIN k ON p.h = k.h""",
+    "op13_source_divergence": divergence.SQL,
 }
