@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import caps, crf, divergence, feistel, jaccard, mixing, packing, tokenfiles, toxicity, vamana, warc, whitening
+from lorekeep.llm import caps, crf, divergence, feistel, jaccard, mixing, packing, simhash, tokenfiles, toxicity, vamana, warc, whitening
 from lorekeep.tables import table
 
 
@@ -63,6 +63,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(table(spark, sf_dir, "documents"), radius=8)
+
+
 def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
@@ -71,7 +75,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, ranks=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op3_pruned_graph, op4_language_crf, op5_spherical_caps, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files, op12_tsqr_whitening, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_poisson_mixing, op3_pruned_graph, op4_language_crf, op5_spherical_caps, op6_best_fit_packing, op7_toxicity, op8_ngram_jaccard, op9_feistel_pseudonyms, op10_token_files, op11_simhash, op12_tsqr_whitening, op13_source_divergence)}
 #: Tokenizers, trained models, keyed permutations and binary files are beyond SQL; the tests hold them against plain versions.
 ORACLES: dict[str, str] = {
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
