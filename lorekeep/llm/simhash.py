@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,6 +27,8 @@ WORD_WEIGHT, PAIR_WEIGHT = 1, 2
 CHUNK = 4080
 #: Fingerprints of one key that are compared in one task, and those of a block of a larger key's.
 BLOCK = 4096
+#: Up to so many rows of a key are compared one by one, without arrays.
+FEW = 24
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,41 +181,81 @@ def _keyed(masks: list[np.ndarray]):
     return keyed
 
 
+def _few(masks: list[int], which: int, radius: int, prints: list[bytes], blocks: list[int] | None, docs: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """What each of a few rows gains by its links, and the links. With blocks, only pairs of different ones count."""
+    x, gain, edges = [int.from_bytes(p, "big") for p in prints], [0] * len(prints), []
+    for p in range(len(x)):
+        for q in range(p):
+            apart = x[p] ^ x[q]
+            if apart.bit_count() <= radius and not apart & masks[which] and all(apart & m for m in masks[:which]) and (blocks is None or blocks[p] != blocks[q]):
+                gain[p] += docs[q]
+                gain[q] += docs[p]
+                edges.append((q, p))
+    return gain, edges
+
+
+def _many(masks: list[np.ndarray], which: int, radius: int, prints: list[bytes], blocks: list[int] | None, docs: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """The same for many rows, with the edges of trees over their classes in place of all links."""
+    x = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+    block, weight = np.array(blocks if blocks else [0] * len(x)), np.array(docs)
+    gain, left, edges = np.zeros(len(x), np.int64), np.ones(len(x), bool), []
+    near = np.zeros((len(x), len(x)), bool)
+    for a in range(0, len(x), 256):
+        apart = sum(np.bitwise_count(x[a : a + 256, w, None] ^ x[None, :, w]).astype(np.uint16) for w in range(x.shape[1]))
+        p, q = np.nonzero(apart <= radius)
+        p += a
+        new = (p != q) & (block[p] != block[q] if blocks else True)
+        p, q = p[new], q[new]
+        new = (((x[p] ^ x[q]) & masks[which]) == 0).all(1)
+        for m in masks[:which]:
+            new &= (((x[p] ^ x[q]) & m) != 0).any(1)
+        p, q = p[new], q[new]
+        near[p, q] = True
+        np.add.at(gain, p, weight[q])
+    for start in np.flatnonzero(near.any(1)).tolist():
+        if left[start]:
+            left[start], todo = False, [start]
+            while todo:
+                v = todo.pop()
+                found = np.flatnonzero(near[v] & left).tolist()
+                left[found] = False
+                edges += [(v, f) for f in found]
+                todo += found
+    return gain.tolist(), edges
+
+
 def _linked(masks: list[np.ndarray], radius: int):
-    words = [m.view(np.uint64) for m in masks]
-
-    def linked(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links of one key, or between two blocks of one: what each row gains, and edges that join their classes."""
-        rows = rows.sort_values("node")
-        which, i, j = int(key[0]), int(key[2]), int(key[3])
-        x = np.frombuffer(b"".join(rows["print"]), np.uint64).reshape(len(rows), -1)
-        block, docs, node = rows["block"].to_numpy(), rows["docs"].to_numpy(), rows["node"].to_numpy()
-        gain, left, edges = np.zeros(len(x), np.int64), np.ones(len(x), bool), []
-        near = np.zeros((len(x), len(x)), bool)
-        for a in range(0, len(x), 256):
-            apart = sum(np.bitwise_count(x[a : a + 256, w, None] ^ x[None, :, w]).astype(np.uint16) for w in range(x.shape[1]))
-            p, q = np.nonzero(apart <= radius)
-            p += a
-            new = (p != q) & ((block[p] != block[q]) if i != j else True)
-            p, q = p[new], q[new]
-            new = (((x[p] ^ x[q]) & words[which]) == 0).all(1)  # keys are hashes, which may be equal by chance
-            for w in words[:which]:  # a smaller table has the pair already
-                new &= (((x[p] ^ x[q]) & w) != 0).any(1)
-            p, q = p[new], q[new]
-            near[p, q] = True
-            np.add.at(gain, p, docs[q])
-        for start in np.flatnonzero(near.any(1)).tolist():  # a tree over each class
-            if left[start]:
-                left[start], todo = False, [start]
-                while todo:
-                    v = todo.pop()
-                    found = np.flatnonzero(near[v] & left)
-                    left[found] = False
-                    edges += [(node[v], node[f]) for f in found]
-                    todo += found.tolist()
-        own = np.flatnonzero(gain)
-        a, b = ([e[k] for e in edges] for k in (0, 1))
-        return pd.DataFrame({"a": [*node[own], *a], "b": [*node[own], *b], "n": [*gain[own], *([0] * len(a))]}).astype("int64")
+    words, numbers = [m.view(np.uint64) for m in masks], [int.from_bytes(m.tobytes(), "big") for m in masks]
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each key, or between two blocks of one: what each row gains, and edges. A key's rows follow each other.
+
+        A pair counts where the tables before disagree on it; that keys are hashes, which may be equal by chance, does no harm.
+        """
+        out: tuple[list, list, list] = [], [], []
+
+        def take(key: tuple, rows: list[tuple]) -> None:
+            block, node, prints, docs = zip(*rows)
+            which, apart = key[0], list(block) if key[2] != key[3] else None
+            gain, edges = _few(numbers, which, radius, prints, apart, docs) if len(rows) <= FEW else _many(words, which, radius, prints, apart, docs)
+            some = [(node[p], node[p], g) for p, g in enumerate(gain) if g] + [(node[p], node[q], 0) for p, q in edges]
+            for column, values in zip(out, zip(*some)):
+                column.extend(values)
+
+        held, rows = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                if row[:4] != held:
+                    if len(rows) > 1:
+                        take(held, rows)
+                    held, rows = row[:4], []
+                rows.append(row[4:])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b", "n"])
+            out = [], [], []
+        if len(rows) > 1:
+            take(held, rows)
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["a", "b", "n"])
 
     return linked
 
@@ -237,7 +278,8 @@ def within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     cut = held.join(nodes.select("node", "print", "docs"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.select("which", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "print", "docs")
-    found = written(cut.groupBy("which", "key", "i", "j").applyInPandas(_linked(masks, radius), "a long, b long, n long"), "near")
+    together = ["which", "key", "i", "j"]
+    found = written(cut.repartition(*together).sortWithinPartitions(*together, "node").mapInArrow(_linked(masks, radius), "a long, b long, n long"), "near")
     discard(full, held)
     gained = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     classes = connected(found.select("a", "b")).select("node", "component")
