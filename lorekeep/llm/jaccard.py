@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from lorekeep.llm.graph import connected
 from lorekeep.llm.store import discard, leading_number, maybe_member, membership, prepare, written
@@ -87,7 +89,7 @@ def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
     return (nx + ny - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
-def _sets(width: int):
+def _sets(width: int, id_type: pa.DataType):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document, and then the task's token counts by cell, where each set counts once."""
         counts, seen = np.zeros(CELLS, np.int64), set()
@@ -105,7 +107,7 @@ def _sets(width: int):
             none = pa.nulls(len(n), pa.int64())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), none, none], names=["doc_id", "n", "node", "bits", "cell", "count"])
         cells = np.flatnonzero(counts)
-        none = [pa.nulls(len(cells), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        none = [pa.nulls(len(cells), t) for t in (id_type, pa.int64(), pa.binary(), pa.binary())]
         yield pa.record_batch([*none, pa.array(cells), pa.array(counts[cells])], names=["doc_id", "n", "node", "bits", "cell", "count"])
 
     return sets
@@ -267,7 +269,9 @@ class Join:
             raise ValueError("similarities below 0.6 need longer prefixes")
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
         self.texts = docs.select("text")
-        both = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words), "doc_id long, n long, node binary, bits binary, cell long, count long"), "sets")
+        named = docs.select("doc_id" if isinstance(docs.schema["doc_id"].dataType, StructType) else F.col("doc_id").cast("long").alias("doc_id"), "text")
+        kind = named.schema["doc_id"].dataType
+        both = written(named.mapInArrow(_sets(words, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n long, node binary, bits binary, cell long, count long"), "sets")
         self.rows = both.where("node is not null").select("doc_id", "n", "node", "bits")
         cells = both.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toPandas()  # at most CELLS rows
         self.counts = np.zeros(CELLS, np.int64)
@@ -376,7 +380,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; null and empty texts link with nothing.
 
     Repeated rows come as often as they are, in one class. Null ids take part; a class of nothing else has a
-    null id. Other columns than doc_id and text are not looked at. Very long texts are shingled whole.
+    null id. An id may be a struct, which is then ordered by its fields. Other columns than doc_id and text are not
+    looked at. Very long texts are shingled whole. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     join = Join(docs, words, percent)
@@ -395,3 +400,15 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = owned.join(ids, "of").select("node", "component_id")
     out = join.rows.select("doc_id", "n", "node").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of which each class of near copies keeps one: the least doc_id, null ids last, then the least digest.
+
+    A row is known by its id and its text, so rows with one id and different texts are judged apart, and equal ones stay
+    once. Null and empty texts, and those without words, are classes of their own. Columns stay as they are.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
+    classes = components(docs.select(row.alias("doc_id"), "text"), words, percent)
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

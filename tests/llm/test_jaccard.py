@@ -75,3 +75,17 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     rows = [(None, "a b c d e", 1), (7, "a b c d e", 2), (7, "q r s t u v", 3), (None, "only here of all", 4), (9, None, 5), (9, " \n", 6)]
     got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string, node long"), 4, 85).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted([("None", 2, "7"), ("7", 2, "7"), ("7", 3, "7"), ("None", 1, "None"), ("9", 0, "9"), ("9", 0, "9")])
+
+
+def test_one_id_on_two_texts_keeps_neither_copy(spark):
+    """The near copy goes although its id's other text stays; equal rows stay once, clashing columns stay as they are."""
+    import random
+
+    rng = random.Random(2)
+    a, other = (" ".join(rng.choices([f"w{k}" for k in range(500)], k=60)) for _ in range(2))
+    rows = [(3, a), (7, a + " end"), (7, other), (7, other), (None, a), (None, "alone here with five words"), (9, None), (9, ""), (2**62 + 5, other + " more")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, digest int")
+    got = jaccard.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in [rows[0], rows[2], rows[5], rows[6], rows[7]])
+    assert jaccard.one_of_each(docs.where("false")).count() == 0
