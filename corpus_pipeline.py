@@ -20,15 +20,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies; five-word shingles, similarity 0.8.
+    """The row with the least id of each class of near copies; five-word shingles, similarity 0.8.
 
-    Equal rows stay once. Rows without an id come behind those with one, in the order of their texts' hashes.
+    Rows are told apart by id and text, so a near copy goes even if its id has another text as well. Equal rows stay
+    once. Rows without an id come behind those with one, in the order of their texts' digests.
     """
-    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    classes = jaccard.components(named.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return named.join(kept, "_id", "left_semi").dropDuplicates(["_id", "text"]).select(*docs.columns)
+    return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
