@@ -26,8 +26,8 @@ from lorekeep.llm.store import fold, prepare
 SAMPLE_DOCS, RUN, PIECE = 400, 60, 10
 #: All languages are learned. Above this many, they share as many hashed weights and sampled documents as so many have, but no language has fewer than FEW documents.
 FULL, FEW = 64, 20
-#: Hashed weights of a language, words of a lexicon, letters of a word that make features, and known words of a worker.
-BUCKETS, LEXICON, LETTERS, KNOWN = 1 << 16, 300, 24, 200_000
+#: Hashed weights of a language, words of a lexicon, and known words of a worker.
+BUCKETS, LEXICON, KNOWN = 1 << 16, 300, 200_000
 #: Numbers of an array that holds one for each word and language, at most (or one document's).
 HELD = 1 << 22
 STEPS, RATE = 40, 0.3
@@ -54,12 +54,11 @@ def _hashes(buckets: int) -> tuple[Hashed, Hashed, Hashed]:
 
 
 def features(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the word, its affixes and n-grams."""
+    """Buckets of the word, its affixes and all its n-grams."""
     first, last, gram = _hashes(buckets)
-    w = word[:LETTERS]
-    marked = f"^{w}$"
+    marked = f"^{word}$"
     n = len(marked)
-    out = [zlib.crc32(b"w" + word.encode()) % buckets, first[w[:1]], first[w[:2]], first[w[:3]], last[word[-1:]], last[word[-2:]], last[word[-3:]]]
+    out = [zlib.crc32(b"w" + word.encode()) % buckets, first[word[:1]], first[word[:2]], first[word[:3]], last[word[-1:]], last[word[-2:]], last[word[-3:]]]
     out += [gram[marked[k : k + 2]] for k in range(n - 1)]
     out += [gram[marked[k : k + 3]] for k in range(n - 2)]
     return out
@@ -222,7 +221,11 @@ class Emissions(dict):
             lists = [self.model.buckets(w) for w in new[a : a + step]]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
-            found, have = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes), len(self)
+            if len(flat) * self.rows.shape[1] > 4 * HELD:  # very long words: piece by piece
+                found = np.array([sum(self.model.weights[x[k : k + 10_000]].sum(0) for k in range(0, len(x), 10_000)) for x in lists])
+            else:
+                found = np.add.reduceat(self.model.weights[flat], np.cumsum(sizes) - sizes)
+            have = len(self)
             if have + len(found) > len(self.rows):
                 self.rows = np.vstack([self.rows[:have], np.empty((max(have, len(found)) * 2, self.rows.shape[1]))])
             self.rows[have : have + len(found)] = found

@@ -26,8 +26,8 @@ BAND = 1.25
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4000, 32, 48, 96, 1.2
 #: Queries that a task searches in its shard, and those of them that are searched at once.
 QUERIES, QUERY_BLOCK = 20_000, 500
-#: Shards with at most this many vectors are searched whole.
-SMALL = 4 * BEAM
+#: Shards with at most this many vectors are all wanted: a query's 20 and itself.
+SMALL = 21
 
 
 def even(x: np.ndarray, longest: float) -> np.ndarray:

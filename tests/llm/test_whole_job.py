@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from lorekeep.llm import crf, feistel, mixing, packing, tokenfiles
+from lorekeep.llm import crf, feistel, mixing, packing, tokenfiles, vamana
 
 
 def test_poisson_inverts_at_any_rate(spark):
@@ -138,3 +138,24 @@ def test_added_tokens_have_the_ids_of_the_unaltered_library(spark):
     for got, end in ((tokenfiles.token_files(docs), 0), (packing.pack_documents(docs).withColumnRenamed("length", "n_tokens"), 2)):
         rows = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got.collect()}
         assert rows == {k: (len(x) + 1, zlib.crc32(np.array([*x, end], "<u4").tobytes())) for k, x in enumerate(want[:50])}
+
+
+def test_all_letters_of_a_word_make_features(spark):
+    """Scripts without spaces make long words; what tells them apart may lie anywhere in them."""
+    word = "的" * 40 + "漢字仮名"
+    assert {crf._hashes(crf.BUCKETS)[2][g] for g in ("漢字仮", "字仮名", "名$")} <= {*crf.features(word)}
+    rows = [(100 * k + i, "的是不了在有" * 6 + ("漢字仮名交" if k else "简体中文字") * 3 + "人我他" * (2 + i % 5), "xy"[k]) for k in range(2) for i in range(60)]
+    model = crf.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    best = crf.posteriors(model, ["的是不了在有" * 6 + mark * 3 + "人我他" * 9 for mark in ("简体中文字", "漢字仮名交")]).argmax(1)
+    assert [model.langs[k] for k in best] == ["x", "y"]
+    long = crf.Emissions(model)
+    long.learn(["語" * 3_000_000 + "漢字", "仮名"])
+    assert len(long) == 2 and np.isfinite(long.rows[:2]).all()
+
+
+def test_small_shards_are_graphs_as_well():
+    x = np.random.default_rng(3).normal(size=(200, 16))
+    graph = vamana.Graph(x)
+    assert (graph.edges >= 0).any(1).all()
+    want = np.argsort(-(x[:50] @ x.T), axis=1)[:, :21]
+    assert np.mean([len({*g} & {*w}) / 21 for g, w in zip(graph.nearest(x[:50], 21).tolist(), want.tolist())]) >= 0.9
