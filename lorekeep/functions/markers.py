@@ -10,12 +10,17 @@ DENIAL = "The user doesn't want to proceed with this tool use. The tool use was
 USER_REJECTED = "user-rejected"
 USER_SAID = "To tell you how to proceed, the user said:\n"
 USER_SAID_END = "Note: The user's next message"
-INTERRUPT = r"(?i)\A\s*\[Request interrupted by user"
-INJECTION = r"(?i)\A\s*(?:<(?:teammate-message|scheduled-task|agent-message|cross-session-message)(?:[\s/>]|$)|Another \w+ session sent a message:|# Augment Agent(?:\s|$)|\[Role Reminder(?:[\s:\]]|$))"
-NOISE_TAGS = r"<(?:system[_-](?:instruction|reminder)|local-command-(?:stdout|stderr|caveat)|command-(?:name|message|args)|task-notification|persisted-output|output-file)\b"
-NOISE = rf"(?im){NOISE_TAGS}|Caveat: The messages below were generated by the user while running local commands\.|REMAINING_TASKS_ACKNOWLEDGED|<<[a-z][a-z0-9-]*>>|^Base directory for this skill:|(?:###\s+\w[\w \-]{{0,30}}\s+){{3,}}###"
+INTERRUPT = r"(?i)^\s*\[Request interrupted by user"
+INJECTION = r"(?i)\A\s*<(?:teammate-message|scheduled-task|agent-message|cross-session-message)(?:[\s/>]|$)|\A\s*Another Claude session sent a message:|\A\s*# Augment Agent(?:\s|$)|\A\s*\[Role Reminder(?:[\s:\]]|$)"
+NOISE = r"(?i)<(?:system[_-](?:instruction|reminder)|local-command-(?:stdout|stderr|caveat)|command-(?:name|message|args)|task-notification|persisted-output|output-file)\b|Caveat: The messages below were generated by the user while running local commands\.|REMAINING_TASKS_ACKNOWLEDGED|<<[a-z][a-z0-9-]*>>|^Base directory for this skill:|(?:###\s+[\w][\w \-]{0,30}\s+){3,}###"
+STOP_HOOK = r"(?i)Stop hook feedback:"
+COMMAND_ECHO = r"(?i)\A\s*<bash-(?:input|stdout|stderr)\b"
+CONTINUATION = r"(?i)^\s*(?:(?:yea+h?|yep|yup|sure|ok(?:ay)?|sounds good|looks good|lgtm|perfect)[\s,.!]+){0,2}(?:go ahead\b|(?:go ahead and\s+)?(?:commit|push|rebase|merge|deploy)\b|ship it\b|cut (?:a |the )?(?:new )?release\b|proceed\b)|\byou must resume\b|\b(?:resume|restart) (?:them|it|the (?:sub-?agents?|workflows?|agents?|tasks?))\b"
+TASK_NOTIFICATION = "<task-notification>"
 NOTIFIED_CALL = r"<tool-use-id>([^<]+)</tool-use-id>"
 READ_VERBS = ("get", "list", "search", "read", "view", "fetch", "query", "describe", "show", "find")
+#: Kinds of user texts that nobody wrote as feedback, by pattern.
+JUNK = {"structural": NOISE, "agent_injection": INJECTION, "interrupt": INTERRUPT, "stop_hook": STOP_HOOK, "continuation": CONTINUATION, "command_echo": COMMAND_ECHO}
 #: White space as Python strips it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
@@ -38,11 +43,11 @@ def is_bare_interrupt(text: Column) -> Column:
 
 
 def is_injection(text: Column) -> Column:
-    return F.coalesce(strip(text).rlike(INJECTION), F.lit(False))
+    return F.coalesce(text.rlike(INJECTION), F.lit(False))
 
 
 def is_noise(text: Column) -> Column:
-    return F.coalesce(text.rlike(NOISE) | strip(text).rlike(INJECTION), F.lit(False))
+    return F.coalesce(text.rlike(NOISE) | text.rlike(INJECTION), F.lit(False))
 
 
 def embedded_user_text(text: Column) -> Column:

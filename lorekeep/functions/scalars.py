@@ -46,8 +46,8 @@ def overlap(new: Column, old: Column) -> Column:
 
 
 def cost(model: Column, input_: Column, output: Column, cache_read: Column, written_5m: Column, written_1h: Column | None = None) -> Column:
-    """Dollars of a row's tokens by the family that the model's name holds; null for other models."""
-    parts = [input_, output, cache_read, written_5m, F.lit(0) if written_1h is None else written_1h]
+    """Dollars of a row's tokens by the family that the model's name holds; null for other models. A null counter is 0."""
+    parts = [F.coalesce(p, F.lit(0)) for p in (input_, output, cache_read, written_5m, F.lit(0) if written_1h is None else written_1h)]
     out = F.lit(None).cast("double")
     for family, prices in reversed(PRICES.items()):
         total = sum((p / 1e6 * F.lit(x) for p, x in zip(parts[1:], prices[1:])), parts[0] / 1e6 * F.lit(prices[0]))

@@ -30,4 +30,5 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a.cast("array<double>")) * dot(b, b.cast("array<double>")))
+    """Null where a vector is zero or one is null."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a.cast("array<double>")) * dot(b, b.cast("array<double>"))))

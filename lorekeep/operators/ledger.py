@@ -98,6 +98,6 @@ def alike_keys(vectors: DataFrame, key: str, vector: str, limit: float) -> DataF
     Meant for tables of some thousand keys: the means, not the vectors, are paired.
     """
     each = vectors.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = each.withColumn("u", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key))))
+    means = each.withColumn("u", F.try_divide("m", F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key)))))  # null for a zero mean
     a, b = means.select("i", F.col(key).alias("a"), F.col("u").alias("x")), means.select("i", F.col(key).alias("b"), F.col("u").alias("y"))
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") > limit)

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markers
+from lorekeep.operators import notices
 
 #: Other names of tools that a name stands for.
 ALIASES = {"Bash": ("Execute", "exec_command"), "Edit": ("apply_patch",), "Write": ("Create",), "Agent": ("Task",), "WebFetch": ("FetchUrl",), "ExitPlanMode": ("ExitSpecMode",)}
+#: Tools that wait by themselves, that may run in the background, that start agents, and that ask people.
+WAITING = "Monitor|ScheduleWakeup|SendMessage|TeamCreate"
+BACKGROUND, AGENTS, ASKING = "Agent|Task|Bash", "Agent|Task", "AskUserQuestion|ExitPlanMode"
 EDITS = ("Edit", "MultiEdit", "Write", "Create", "NotebookEdit")
 
 
@@ -60,7 +64,7 @@ def _one_result(events: DataFrame) -> DataFrame:
     """tool_use_id's last result and the place of its first."""
     each = events.select("path", "idx", "ts", F.posexplode("results").alias("at", "r")).select("path", "idx", "at", "ts", "r.*")
     place = F.struct("idx", "at")
-    return each.groupBy("path", "tool_use_id").agg(F.max_by(F.struct("idx", "ts", "content", "is_error", "denial_kind"), place).alias("result"), F.min("idx").alias("first_result_idx"))
+    return each.groupBy("path", "tool_use_id").agg(F.max_by(F.struct("idx", "ts", "content", "is_error", "is_async", "denial_kind"), place).alias("result"), F.min("idx").alias("first_result_idx"))
 
 
 def calls(turned: DataFrame) -> DataFrame:
@@ -124,15 +128,23 @@ def is_test(path: str = "file_path") -> Column:
     return touches("test_*", "*_test.*", "*/tests/*", path=path)
 
 
-def under(root: str, path: str = "file_path") -> Column:
-    root = root.rstrip("/")
-    return F.coalesce(F.col(path).startswith(root + "/") | F.col(path).contains(f"/{root}/"), F.lit(False))
+def under(prefix: str, path: str = "file_path") -> Column:
+    """A path that begins with the prefix, or has it behind any slash."""
+    return F.coalesce(F.col(path).startswith(prefix) | F.col(path).contains(f"/{prefix}"), F.lit(False))
 
 
-def predicates(calls_: DataFrame, tests: dict[str, Column]) -> DataFrame:
-    """One row per session with a boolean for each test: is any call that did not fail as the test says? All in one pass."""
+def suffix(path: str = "file_path") -> Column:
+    """The last part's ending with its point; empty without one, or if nothing else is there."""
+    return F.regexp_extract(F.col(path), r"[^/.][^/]*(\.[^/.]+)\z", 1)
+
+
+def predicates(calls_: DataFrame, tests: dict[str, Column], with_errors: tuple[str, ...] = ()) -> DataFrame:
+    """One row per session with a boolean for each test: is any call as the test says? All in one pass.
+
+    Failed calls are hidden, but from the tests that `with_errors` names.
+    """
     shown = ~F.col("is_error")
-    return calls_.groupBy("path").agg(*[F.max(shown & F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()])
+    return calls_.groupBy("path").agg(*[F.max((F.lit(n in with_errors) | shown) & F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()])
 
 
 def call_counts(calls_: DataFrame) -> DataFrame:
@@ -195,21 +207,33 @@ def grep(turned: DataFrame, patterns: dict[str, str], context: int = 0, cap: int
     return told.withColumn("_near", near).where("_near").drop("_near")
 
 
-def activity(turned: DataFrame, waiting: str = "AskUserQuestion|ExitPlanMode") -> DataFrame:
-    """path, is_waiting, mid_tool, pending (names in order), last_ts of each session's last turn."""
-    now = current_turn(turned)
-    open_ = calls(now).where("pending")
-    pend = open_.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("idx", "at", "name"))).alias("p"), F.max(named(waiting)).alias("waits"))
-    last = turned.groupBy("path").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("idx"))).alias("last_ts"))
-    out = last.join(pend, "path", "left")
-    return out.select("path", F.coalesce("waits", F.lit(False)).alias("is_waiting"), (F.coalesce(F.size("p"), F.lit(0)) > 0).alias("mid_tool"), F.coalesce(F.transform("p", lambda x: x["name"]), F.array().cast("array<string>")).alias("pending"), "last_ts")
-
-
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 20) -> DataFrame:
-    """node, depth: all nodes that the roots lead to along edges (parent, child), each at its least depth; cycles are fine."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    roots.select("node").createOrReplaceTempView("_roots")
-    found = spark.sql(f"""WITH RECURSIVE walk(node, depth) AS (SELECT node, 0 FROM _roots UNION ALL
-        SELECT e.child, w.depth + 1 FROM walk w JOIN _edges e ON e.parent = w.node WHERE w.depth < {int(depth)}) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
-    return found
+def activity(turned: DataFrame) -> DataFrame:
+    """path, is_waiting, mid_tool, pending (call_id, name, why, in order), last_ts of each session.
+
+    Waiting are undelivered notifications, calls of the current turn that wait, run in the background or are agents
+    without a type, and asynchronous agents and workflows of any turn whose notification has not arrived. mid_tool: a
+    call of the current turn has no result yet, and asks no person. Failed calls count for nothing.
+    """
+    queue = notices.queues(turned)
+    done = notices.completed(queue).withColumn("_done", F.lit(True))
+    current = turned.groupBy("path").agg(F.max("turn").alias("_now"))
+    each = calls(turned).where("not is_error").join(current, "path").join(done, ["path", "call_id"], "left")
+    field = lambda k: F.get_json_object("input", f"$.{k}")
+    now, open_ = F.col("turn") == F.col("_now"), F.col("_done").isNull()
+    why = (
+        F.when(now & named(WAITING), "waiting_tool")
+        .when(now & named(BACKGROUND) & (field("run_in_background") == "true"), "background")
+        .when(now & named(AGENTS) & field("subagent_type").isNull(), "subagentless_task")
+        .when(F.col("name").isin("Agent", "Task") & F.coalesce(F.col("result.is_async"), F.lit(False)) & open_, "pending_async_task")
+        .when((F.col("name") == "Workflow") & open_, "pending_async_workflow")
+    )
+    unanswered = now & F.col("pending") & ~named(ASKING)
+    told = each.select("path", "idx", "at", "call_id", "name", why.alias("why"), unanswered.alias("mid")).where("why is not null or mid")
+    first = told.withColumn("_r", F.row_number().over(Window.partitionBy("path", "call_id").orderBy("idx", "at")))
+    item = F.when(F.col("_r") == 1, F.struct("idx", "at", "call_id", "name", F.coalesce("why", F.lit("mid_tool")).alias("why")))
+    found = first.groupBy("path").agg(F.max(F.col("why").isNotNull()).alias("waits"), F.max("mid").alias("mid"), F.array_sort(F.collect_list(item)).alias("items"))
+    undelivered = queue.select("path", F.exists("queued", lambda x: F.contains(x, F.lit(markers.TASK_NOTIFICATION))).alias("undelivered"))
+    out = turned.groupBy("path").agg(F.max("ts").alias("last_ts")).join(undelivered, "path").join(found, "path", "left")
+    items = F.transform("items", lambda x: F.struct(x.call_id.alias("call_id"), x["name"].alias("name"), x.why.alias("why")))
+    no = F.lit(False)
+    return out.select("path", (F.col("undelivered") | F.coalesce("waits", no)).alias("is_waiting"), F.coalesce("mid", no).alias("mid_tool"), F.coalesce(items, F.array().cast("array<struct<call_id string, name string, why string>>")).alias("pending"), "last_ts")

@@ -45,15 +45,20 @@ class Rule:
 
     def _empty(self) -> Column:
         """Users' and assistants' blank texts; with value True, an assistant that calls a tool is not empty."""
-        blank = F.col("kind").isin("user", "assistant") & (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\p{Z}\x85]+", " ")) == "")
+        blank = F.col("kind").isin("user", "assistant") & (trim(F.coalesce("text", F.lit(""))) == "")
         return blank & ~((F.col("kind") == "assistant") & (F.size("calls") > 0)) if self.value else blank
 
 
+def trim(text: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(text, r"\A[\s\p{Z}\x85]+|[\s\p{Z}\x85]+\z", "")
+
+
 def bare(text: Column, trailing: str) -> Column:
     """Trimmed, without the trailing characters, trimmed again, in lower case."""
     ends = "".join("\\" + c if not c.isalnum() else c for c in trailing)
-    cut = F.regexp_replace(F.trim(text), rf"[{ends}]+\z", "") if trailing else F.trim(text)
-    return F.lower(F.trim(cut))
+    cut = F.regexp_replace(trim(text), rf"[{ends}]+\z", "") if trailing else text
+    return F.lower(trim(cut))
 
 
 def keep(events: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -80,8 +85,27 @@ def drop_empty(consider_tool_use: bool = True) -> list[Rule]:
     return [Rule("text_empty", False, applies_to=("user",)), Rule("text_empty", consider_tool_use, applies_to=("assistant",))]
 
 
-def drop_meta_flag(flag: str) -> Rule:
-    return Rule("meta_flag", flag)
+def drop_sidechain(except_assistants: bool = False) -> Rule:
+    return Rule("meta_flag", "is_sidechain", applies_to=("user",) if except_assistants else ())
+
+
+def drop_meta_flag(flag: str, only_from: tuple[str, ...] = ()) -> Rule:
+    return Rule("meta_flag", flag, applies_to=only_from)
+
+
+def drop_compacted() -> list[Rule]:
+    """Summaries of compaction and entries that only the transcript shows."""
+    return [Rule("meta_flag", "is_compact_summary"), Rule("meta_flag", "is_visible_in_transcript_only")]
+
+
+def drop_junk(*categories: str, only_from: tuple[str, ...] = ("user",)) -> Rule:
+    """Texts that match a category of `markers.JUNK`."""
+    return Rule("text_matches", {"patterns": [markers.JUNK[c] for c in categories]}, applies_to=only_from)
+
+
+def build_spec(*parts: Rule | list[Rule]) -> list[Rule]:
+    """Rules and lists of rules as one list."""
+    return [r for p in parts for r in (p if isinstance(p, list) else [p])]
 
 
 def drop_entrypoints(*names: str) -> Rule:
@@ -89,7 +113,7 @@ def drop_entrypoints(*names: str) -> Rule:
 
 
 def drop_noise() -> Rule:
-    return Rule("text_matches", {"patterns": [markers.NOISE, markers.INJECTION, r"(?i)\A\s*<bash-(?:input|stdout|stderr)\b"]}, applies_to=("user",))
+    return drop_junk("structural", "agent_injection", "command_echo")
 
 
 def drop_phrases(*phrases: str, strip: str = ".!?") -> Rule:
@@ -101,5 +125,5 @@ def drop_short(words: int, kinds: tuple[str, ...] = ("user",)) -> Rule:
 
 
 #: Conversation without noise, sidechains and empty turns; and noise alone.
-SIGNAL = [keep_only("assistant", "user"), drop_noise(), drop_synthetic(), drop_meta_flag("is_sidechain"), *drop_empty()]
-NOISE = [Rule("text_matches", {"patterns": [markers.NOISE]}, applies_to=("user",))]
+SIGNAL = build_spec(keep_only("assistant", "user"), drop_noise(), drop_synthetic(), drop_sidechain(), drop_empty())
+NOISE = build_spec(drop_junk("structural"))

@@ -35,9 +35,9 @@ def edit_lookback(spark, d):
     return timed.count_within(ev.where("event_type in ('error','signup')"), "user_id", "ts", F.col("event_type") == "signup", 86400).where("event_type = 'error'").select("event_id", F.col("hits").alias("signups"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_extract_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markers, scalars
-from lorekeep.operators import mining, session, spec
+from lorekeep.operators import deep, mining, session, spec
 from lorekeep.plans.registry import query
 from lorekeep.sources.sessions import events
 from lorekeep.tables import table
@@ -38,7 +38,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     body = F.struct(
         F.col("role").alias("type"), F.concat_ws("-", F.lit("e"), conv, turn).alias("uuid"), F.concat(F.lit("s"), conv).alias("sessionId"),
         F.date_format(F.timestamp_seconds(F.lit(START) + F.col("conv_id") * 3600 + turn * 50), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
-        (turn % 11 == 5).alias("isMeta"), F.lit("").alias("version"), F.when(F.col("role") == "system", F.col("text")).alias("content"),
+        (turn % 11 == 5).alias("isMeta"), F.lit("").alias("version"), F.when(F.col("role") == "system", F.col("text")).alias("content"), F.when(F.col("role") == "system", "note").alias("subtype"),
         F.when(F.col("role") != "system", F.struct("role", F.when(F.col("role") == "assistant", F.when(F.col("conv_id") % 3 == 0, "big-opus-1").otherwise("a-sonnet-2")).alias("model"), F.when(F.col("role") == "assistant", usage).alias("usage"), F.when(blocks.isNull(), F.col("text")).otherwise("<<blocks>>").alias("content"))).alias("message"),
     )
     own = F.when((F.col("role") == "assistant") & (turn % 3 == 1), F.concat_ws(",", F.to_json(text), F.to_json(call))).when((F.col("role") == "user") & (F.col("conv_id") % 2 == 0), F.concat_ws(",", F.to_json(text), F.to_json(result))).otherwise(F.to_json(text))
@@ -101,10 +101,10 @@ def session_predicates(spark, d):
 
 
 @query(f"""WITH {CALLS}, p AS (SELECT path, string_agg(name, ',' ORDER BY idx) AS pending FROM cr c WHERE pending AND turn = (SELECT max(turn) FROM tu t WHERE t.path = c.path) GROUP BY path)
-SELECT path, p.path IS NOT NULL AS mid_tool, coalesce(pending, '') AS pending FROM (SELECT DISTINCT path FROM ev) LEFT JOIN p USING (path)""".replace("SELECT path, p.path IS NOT NULL", "SELECT s.path, p.path IS NOT NULL").replace("(SELECT DISTINCT path FROM ev) LEFT JOIN p USING (path)", "(SELECT DISTINCT path FROM ev) s LEFT JOIN p ON p.path = s.path"))
+SELECT s.path, p.path IS NOT NULL AS mid_tool, coalesce(pending, '') AS pending FROM (SELECT DISTINCT path FROM ev) s LEFT JOIN p ON p.path = s.path""")
 def session_activity(spark, d):
     """Whether a session waits for a tool, and for which."""
-    return session.activity(log(spark, d)).select("path", "mid_tool", F.array_join("pending", ",").alias("pending"))
+    return session.activity(log(spark, d)).select("path", "mid_tool", F.array_join(F.transform("pending", lambda x: x["name"]), ",").alias("pending"))
 
 
 @query(f"WITH {CALLS} SELECT name, count(*) AS errors FROM cr WHERE is_error GROUP BY name")
@@ -236,7 +236,7 @@ def attribute_owner(spark, d):
     return each.join(top, ["file_path", "last"]).groupBy("file_path").agg(F.min(F.struct("path", "n")).alias("o")).select("file_path", F.col("o.path").alias("owner"), "o.n")
 
 
-@query(f"""WITH {CALLS}, e AS (SELECT * FROM cr WHERE name = 'Edit') SELECT a.call_id AS first, b.call_id AS later, round(1 / 3.0, 6)::DOUBLE AS overlap FROM e a JOIN e b ON a.path = b.path AND a.file_path = b.file_path AND a.idx < b.idx AND b.turn - a.turn <= 2""".replace("round(1 / 3.0, 6)", "round(2 / 3.0, 6)"))
+@query(f"""WITH {CALLS}, e AS (SELECT * FROM cr WHERE name = 'Edit') SELECT a.call_id AS first, b.call_id AS later, round(2 / 3.0, 6)::DOUBLE AS overlap FROM e a JOIN e b ON a.path = b.path AND a.file_path = b.file_path AND a.idx < b.idx AND b.turn - a.turn <= 2""")
 def range_corrections(spark, d):
     """Edits and later ones of the same file within two turns, with the share of new lines that the later one takes away."""
     e = session.calls(log(spark, d)).where("name = 'Edit'").select("path", "file_path", "turn", "idx", "call_id", F.col("hunks")[0].alias("h"))
@@ -255,16 +255,15 @@ def conversation_buckets(spark, d):
     return conversation_windows(events(lines(spark, d)))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…(+' || (length(text) - 40) || 'ch)' ELSE text END AS clip, CASE WHEN strlen(text) < 1024 THEN strlen(text) || 'B' ELSE printf('%.1fKB', strlen(text) / 1024.0) END AS size FROM documents WHERE text IS NULL OR strlen(text) < 1048576")
+@query("SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…(+' || (length(text) - 40) || 'ch)' ELSE text END AS clip, CASE WHEN strlen(text) < 1024 THEN strlen(text) || 'B' WHEN strlen(text) < 1048576 THEN printf('%.1fKB', strlen(text) / 1024.0) WHEN strlen(text) < 1073741824 THEN printf('%.1fMB', strlen(text) / 1048576.0) ELSE printf('%.1fGB', strlen(text) / 1073741824.0) END AS size FROM documents")
 def clip_and_size(spark, d):
-    docs = table(spark, d, "documents").where("text is null or octet_length(text) < 1048576")
-    return docs.select("doc_id", scalars.clip(F.col("text"), 40).alias("clip"), scalars.human_size(F.octet_length("text")).alias("size"))
+    return table(spark, d, "documents").select("doc_id", scalars.clip(F.col("text"), 40).alias("clip"), scalars.human_size(F.octet_length("text")).alias("size"))
 
 
-@query("WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), w(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node WHERE w.depth < 3) SELECT node, min(depth)::INT AS depth FROM w GROUP BY node")
+@query("WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), w(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node WHERE w.depth < 12) SELECT node, min(depth)::INT AS depth FROM w GROUP BY node")
 def session_tree(spark, d):
-    """All that a root leads to, over edges with cycles."""
+    """All that a root leads to, over edges with cycles; no node is more than 12 steps away."""
     n, c = table(spark, d, "nation"), table(spark, d, "customer")
     r, k = F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("n"), "n_nationkey")
     edges = n.select(r.alias("parent"), k.alias("child")).unionByName(n.select(k.alias("parent"), r.alias("child"))).unionByName(c.select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child")))
-    return session.reachable(edges, spark.createDataFrame([("r1",)], "node string"), depth=3)
+    return deep.reachable(edges, spark.createDataFrame([("r1",)], "node string")).select("node", "depth")

@@ -7,26 +7,33 @@ requires, or whose time cannot be read, makes its whole file invalid: none of th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markers
 
-BLOCK = "array<struct<type string, text string, thinking string, id string, name string, input string, tool_use_id string, content string, is_error string>>"
+BLOCK = "array<struct<type string, text string, thinking string, id string, name string, input string, tool_use_id string, content variant, is_error string, `from` struct<model string>, `to` struct<model string>>>"
 FLAGS = {"is_sidechain": "isSidechain", "is_meta": "isMeta", "is_compact_summary": "isCompactSummary", "is_visible_in_transcript_only": "isVisibleInTranscriptOnly"}
 KINDS = ("user", "assistant", "system", "mode", "permission-mode", "attachment")
 USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+#: Files up to so many bytes are one row until their lines are numbered; larger ones are split.
+WHOLE = 64 << 20
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, idx, line of all *.jsonl files at or below a path.
+def read_lines(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """path, idx, line of all *.jsonl files at or below a path; `idx` is a line's place in its file, blank ones counted.
 
-    A file is one row until its lines are numbered, so that `idx` is a line's place in its file; files of a session
-    are some megabytes.
+    A file of up to `whole` bytes is read in one piece. A larger one is read in splits, whose lines are in order, and
+    its lines are numbered by a window over the file; Spark skips files of the other kind by their size.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    split = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("idx", "line"))
-    return split.where(F.trim("line") != "")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    size, name = F.col("_metadata.file_size"), F.col("_metadata.file_path").alias("path")
+    small = reader.text(path, wholetext=True).where(size <= whole).select(name, F.posexplode(F.split("value", "\n")).alias("idx", "line"))
+    split = reader.option("lineSep", "\n").text(path).where(size > whole).select(name, F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    large = split.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("_split", "_row")) - 1).alias("idx"), "line")
+    return small.unionByName(large).where(F.trim("line") != "")
 
 
 def _text(v: Column, path: str) -> Column:
@@ -38,77 +45,98 @@ def _truthy(v: Column, path: str) -> Column:
     return F.coalesce(~_text(v, path).isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False))
 
 
-def _kind_of_value(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _is(v: Column, kind: str) -> Column:
+    """The value is a STRING, ARRAY or OBJECT; false for null."""
+    return F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+
+
+def _joined_text(blocks: Column, sep: str) -> Column:
+    """The texts of text blocks."""
+    return F.array_join(F.transform(F.filter(blocks, lambda b: (b.type == "text") & b.text.isNotNull()), lambda b: b.text), sep)
+
 
+def _flat(content: Column) -> Column:
+    """A result's content: a string as it is, of an array its texts."""
+    texts = F.try_variant_get(content, "$", "array<struct<type string, text string>>")
+    return F.when(_is(content, "STRING"), F.try_variant_get(content, "$", "string")).when(_is(content, "ARRAY"), _joined_text(texts, ""))
 
-def _joined_text(content: Column, sep: str) -> Column:
-    """The texts of the text blocks of a JSON array."""
-    return F.array_join(F.transform(F.filter(F.from_json(content, BLOCK), lambda b: (b.type == "text") & b.text.isNotNull()), lambda b: b.text), sep)
+
+def _problem(v: Column, type_: Column, blocks: Column) -> Column:
+    """What a record lacks that its kind requires; null if nothing."""
+    typed = type_.isin("user", "assistant", "system", "attachment")
+    content = F.try_variant_get(v, "$.message.content", "variant")
+    none = lambda *columns: reduce(Column.__or__, [c.isNull() for c in columns])
+    bad_result = F.exists(blocks, lambda b: (b.type == "tool_result") & (b.tool_use_id.isNull() | ~(_is(b.content, "STRING") | _is(b.content, "ARRAY"))))
+    bad_block = F.exists(blocks, lambda b: b.type.isNull() | ((b.type == "text") & b.text.isNull()) | ((b.type == "thinking") & b.thinking.isNull()) | ((b.type == "tool_use") & none(b.id, b["name"], b.input)) | ((b.type == "fallback") & none(b["from"].model, b["to"].model)))
+    return (
+        F.when(type_.isNull(), "no type")
+        .when(typed & none(_text(v, "$.uuid"), _text(v, "$.sessionId"), _text(v, "$.timestamp")), "no uuid, session or time")
+        .when(typed & F.try_to_timestamp(_text(v, "$.timestamp")).isNull(), "unreadable time")
+        .when((type_ == "user") & ~(_is(content, "STRING") | _is(content, "ARRAY")), "no content")
+        .when((type_ == "user") & F.coalesce(bad_result, F.lit(False)), "a result without call or content")
+        .when((type_ == "assistant") & (_text(v, "$.message.model").isNull() | ~_is(content, "ARRAY")), "no model or blocks")
+        .when((type_ == "assistant") & F.coalesce(bad_block, F.lit(False)), "an unreadable block")
+        .when((type_ == "system") & _text(v, "$.subtype").isNull(), "no subtype")
+        .when(((type_ == "mode") & _text(v, "$.mode").isNull()) | ((type_ == "permission-mode") & _text(v, "$.permissionMode").isNull()), "no mode")
+    )
 
 
 def events(lines: DataFrame, keep_invalid: bool = False) -> DataFrame:
     """Typed events of lines (path, idx, line), in no order; `idx` orders a path's events.
 
     Columns: path, idx, kind, uuid, parent_uuid, session_id, ts, ts_raw, cwd, git_branch, version, entrypoint,
-    the four flags, model, text, thinking, calls (id, name, input), results (tool_use_id, content, is_error,
-    denial_kind), usage tokens, subtype, mode, payload. With keep_invalid the rows of invalid files stay, with
-    `problem` saying what is wrong.
+    user_type, slug, the four flags, model, stop_reason, text, thinking, calls (id, name, input), results
+    (tool_use_id, content, is_error, is_async, denial_kind), fallbacks (from_model, to_model), other_blocks (their
+    types), usage tokens, subtype, mode, detail, payload. With keep_invalid the rows of invalid files stay, with
+    `problem` saying what is wrong. Of a key that a record repeats the last value counts.
     """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # else such lines would be lost
     v = F.col("v")
-    parsed = lines.withColumn("v", F.try_parse_json("line")).where(v.isNotNull() & _kind_of_value(v, "$").startswith("OBJECT"))
+    parsed = lines.withColumn("v", F.try_parse_json("line")).where(_is(v, "OBJECT"))
     type_ = _text(v, "$.type")
-    content, array = _text(v, "$.message.content"), F.coalesce(_kind_of_value(v, "$.message.content").startswith("ARRAY"), F.lit(False))
-    blocks = F.when(array, F.from_json(content, BLOCK))
-    typed = type_.isin("user", "assistant", "system", "attachment")
-    ts_raw = _text(v, "$.timestamp")
-    own_text = F.when(type_.isin("user", "assistant"), F.when(array, _joined_text(content, " ")).otherwise(content)).when(type_ == "system", F.coalesce(_text(v, "$.content"), F.lit("")))
-    problem = (
-        F.when(type_.isNull(), "no type")
-        .when(typed & (_text(v, "$.uuid").isNull() | _text(v, "$.sessionId").isNull() | ts_raw.isNull()), "no uuid, session or time")
-        .when(typed & F.try_to_timestamp(ts_raw).isNull(), "unreadable time")
-        .when((type_ == "user") & content.isNull(), "no content")
-        .when((type_ == "assistant") & (_text(v, "$.message.model").isNull() | ~array), "no model or blocks")
-    )
-    fields = parsed.select(
+    array = _is(F.try_variant_get(v, "$.message.content", "variant"), "ARRAY")
+    parsed = parsed.withColumn("blocks", F.when(array, F.from_json(_text(v, "$.message.content"), BLOCK))).withColumn("problem", _problem(v, type_, F.col("blocks")))
+    own_text = F.when(type_.isin("user", "assistant"), F.when(array, _joined_text(F.col("blocks"), " ")).otherwise(_text(v, "$.message.content"))).when(type_ == "system", F.coalesce(_text(v, "$.content"), F.lit("")))
+    b, assistant, user = F.col("blocks"), type_ == "assistant", type_ == "user"
+    error = lambda x: F.coalesce(~x.is_error.isin("false", "0", ""), F.lit(False))
+    denial = F.nullif(_text(v, "$.toolDenialKind"), F.lit(""))
+    pick = lambda when, kind: F.filter(F.when(when, b), lambda x: x.type == kind)
+    or_none = lambda column, kind: F.coalesce(column, F.array().cast(kind))
+    calls = F.transform(pick(assistant, "tool_use"), lambda x: F.struct(x.id.alias("id"), x["name"].alias("name"), x.input.alias("input")))
+    is_async = F.coalesce(F.try_variant_get(v, "$.toolUseResult.isAsync", "boolean"), F.lit(False))
+    results = F.transform(pick(user, "tool_result"), lambda x: F.struct(x.tool_use_id.alias("tool_use_id"), _flat(x.content).alias("content"), error(x).alias("is_error"), is_async.alias("is_async"), F.coalesce(denial, F.when(error(x) & _flat(x.content).startswith(markers.DENIAL), markers.USER_REJECTED)).alias("denial_kind")))
+    others = F.transform(F.filter(F.when(assistant, b), lambda x: ~x.type.isin("text", "thinking", "tool_use", "fallback")), lambda x: x.type)
+    full = parsed.select(
         "path",
         F.col("idx").cast("long").alias("idx"),
         F.when(type_.isin("mode", "permission-mode"), "mode").when(type_.isin(*KINDS), type_).otherwise("other").alias("kind"),
         _text(v, "$.uuid").alias("uuid"),
         F.nullif(_text(v, "$.parentUuid"), F.lit("")).alias("parent_uuid"),
         _text(v, "$.sessionId").alias("session_id"),
-        F.try_to_timestamp(ts_raw).alias("ts"),
-        ts_raw.alias("ts_raw"),
-        *[_text(v, f"$.{j}").alias(c) for c, j in (("cwd", "cwd"), ("git_branch", "gitBranch"), ("entrypoint", "entrypoint"))],
+        F.try_to_timestamp(_text(v, "$.timestamp")).alias("ts"),
+        _text(v, "$.timestamp").alias("ts_raw"),
+        *[_text(v, f"$.{j}").alias(c) for c, j in (("cwd", "cwd"), ("git_branch", "gitBranch"), ("entrypoint", "entrypoint"), ("user_type", "userType"), ("slug", "slug"))],
         F.nullif(_text(v, "$.version"), F.lit("")).alias("version"),
         *[_truthy(v, f"$.{j}").alias(c) for c, j in FLAGS.items()],
-        F.when(type_ == "assistant", _text(v, "$.message.model")).alias("model"),
+        F.when(assistant, _text(v, "$.message.model")).alias("model"),
+        F.when(assistant, _text(v, "$.message.stop_reason")).alias("stop_reason"),
         own_text.alias("text"),
-        blocks.alias("blocks"),
-        _text(v, "$.toolDenialKind").alias("record_denial"),
+        F.coalesce(F.array_join(F.transform(pick(assistant, "thinking"), lambda x: x.thinking), " "), F.lit("")).alias("thinking"),
+        or_none(calls, "array<struct<id string, name string, input string>>").alias("calls"),
+        or_none(results, "array<struct<tool_use_id string, content string, is_error boolean, is_async boolean, denial_kind string>>").alias("results"),
+        or_none(F.transform(pick(assistant, "fallback"), lambda x: F.struct(x["from"].model.alias("from_model"), x["to"].model.alias("to_model"))), "array<struct<from_model string, to_model string>>").alias("fallbacks"),
+        or_none(others, "array<string>").alias("other_blocks"),
         *[F.try_variant_get(v, f"$.message.usage.{c}", "bigint").alias(c) for c in USAGE],
+        *[F.try_variant_get(v, f"$.message.usage.cache_creation.ephemeral_{t}_input_tokens", "bigint").alias(f"written_{t}_tokens") for t in ("5m", "1h")],
         _text(v, "$.subtype").alias("subtype"),
-        F.coalesce(_text(v, "$.mode"), _text(v, "$.permissionMode")).alias("mode"),
+        F.when(type_ == "mode", _text(v, "$.mode")).when(type_ == "permission-mode", _text(v, "$.permissionMode")).alias("mode"),
         F.coalesce(_text(v, "$.attachment.type"), _text(v, "$.operation")).alias("detail"),
-        F.when(~type_.isin("user", "assistant"), F.col("line")).alias("payload"),
-        problem.alias("problem"),
-    )
-    b = F.col("blocks")
-    flat = lambda x: F.when(x.content.startswith("["), _joined_text(x.content, "")).otherwise(x.content)
-    error = lambda x: F.coalesce(~x.is_error.isin("false", "0", ""), F.lit(False))
-    calls = F.transform(F.filter(b, lambda x: (x.type == "tool_use") & (F.col("kind") == "assistant")), lambda x: F.struct(x.id.alias("id"), x["name"].alias("name"), x.input.alias("input")))
-    results = F.transform(
-        F.filter(b, lambda x: (x.type == "tool_result") & (F.col("kind") == "user")),
-        lambda x: F.struct(x.tool_use_id.alias("tool_use_id"), flat(x).alias("content"), error(x).alias("is_error"), F.coalesce(F.col("record_denial"), F.when(error(x) & flat(x).startswith(markers.DENIAL), markers.USER_REJECTED)).alias("denial_kind")),
+        F.when(~(user | assistant) | F.coalesce(_text(v, "$.toolUseResult"), denial).isNotNull(), F.col("line")).alias("payload"),
+        "problem",
     )
-    thinking = F.array_join(F.transform(F.filter(b, lambda x: x.type == "thinking"), lambda x: x.thinking), " ")
-    full = fields.withColumn("calls", F.coalesce(calls, F.from_json(F.lit("[]"), "array<struct<id string, name string, input string>>")))
-    full = full.withColumn("results", F.coalesce(results, F.from_json(F.lit("[]"), "array<struct<tool_use_id string, content string, is_error boolean, denial_kind string>>")))
-    full = full.withColumn("thinking", F.coalesce(thinking, F.lit(""))).drop("blocks", "record_denial")
     if keep_invalid:
         return full
-    worst = F.max("problem").over(Window.partitionBy("path"))
-    return full.withColumn("_worst", worst).where("_worst is null").drop("_worst", "problem")
+    return full.drop("problem").join(full.where("problem is not null").select("path").distinct(), "path", "left_anti")  # few paths, if any
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:

@@ -7,14 +7,11 @@ bounded by the watermark where one is given.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lorekeep.shared import folder_for  # noqa: F401
 from lorekeep.sources.sessions import events
 
 
@@ -52,16 +49,6 @@ def calls_with_results(stream: DataFrame) -> DataFrame:
     return both.where("u is not null").select("path", "call_id", "u.name", "u.idx", "r.content", F.coalesce("r.is_error", F.lit(False)).alias("is_error"), F.col("r").isNull().alias("pending"))
 
 
-def folder_for(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset and the master is local, of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints", "lorekeep")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def to_table(updates: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """Run an update-mode stream over all there is now, and return its last row of each key.
 
