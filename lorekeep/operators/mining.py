@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import markers
-from lorekeep.operators import session
+from lorekeep.operators import questions, review, session
 
 FOUND = ("detector", "path", "idx", "uuid", "text", "trigger_idx", "confidence", "reasons")
 PLAN_TOOLS = ("ExitPlanMode", "ExitSpecMode")
@@ -102,8 +102,27 @@ def plan_reentries(turned: DataFrame, back: int = 40, stages: list[Stage] = CALI
     return _found("plan_reentry", first.join(turned.select("path", "idx", "uuid", "text"), ["path", "idx"]), stages, "plan")
 
 
-def mine(turned: DataFrame) -> DataFrame:
+def question_answers(turned: DataFrame, stages: list[Stage] = CALIBRATED) -> DataFrame:
+    """Answers to the agent's questions: notes, or else the answer. A plain pick of options is weak, free words are scored."""
+    told = questions.answers(session.nearest(turned).drop("next_user")).withColumn("text", F.coalesce("notes", "answer")).where("text is not null")
+    near = session.nearest(turned).select("path", "idx", F.col("before_assistant").alias("trigger_idx"))
+    rows = told.join(near, ["path", "idx"])
+    plain = F.col("option_pick") & (F.coalesce("notes", F.lit("")) == "")
+    weak = rows.where(plain).select(F.lit("question_answer").alias("detector"), "path", "idx", "uuid", "text", "trigger_idx", F.lit(0.25).alias("confidence"), F.array(F.lit("option_pick")).alias("reasons"))
+    return _found("question_answer", rows.where(~plain), stages, "freeform_answer").unionByName(weak)
+
+
+def review_comments(turned: DataFrame, formats: dict | None = None, stages: list[Stage] = CALIBRATED) -> DataFrame:
+    """Comments of the formats (arguments of `review.comments`) as findings."""
+    return _found("review_comment", review.comments(turned, **(formats or REVIEW)).withColumnRenamed("comment", "text"), stages, "format_match")
+
+
+#: Comments as reviewers often write them: path:line: text, and JSON objects with a file and a comment.
+REVIEW = {"patterns": [review.ByPattern("path_line", r"(?m)^([\w./-]+\.\w+):([0-9]+)(?:-([0-9]+))?: +(\S.*)$", (4,), 1, 2, 3)], "structured": [review.InJson("json", comment=("comment", "summary"), fix=("fix",))]}
+
+
+def mine(turned: DataFrame, formats: dict | None = None) -> DataFrame:
     """All detectors' findings, `rank` being the detectors' order."""
-    parts = [messages(turned), denials(turned, plan=True), plan_reentries(turned), denials(turned), interrupts(turned)]
+    parts = [messages(turned), denials(turned, plan=True), plan_reentries(turned), denials(turned), interrupts(turned), review_comments(turned, formats), question_answers(turned)]
     ranked = [p.withColumn("rank", F.lit(k)) for k, p in enumerate(parts)]
     return reduce(DataFrame.unionByName, ranked)
