@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import markers
 from lorekeep.operators import questions, review, session
+from lorekeep.shared import written
 
 FOUND = ("detector", "path", "idx", "uuid", "text", "trigger_idx", "confidence", "reasons")
 PLAN_TOOLS = ("ExitPlanMode", "ExitSpecMode")
@@ -59,25 +60,27 @@ def _found(name: str, rows: DataFrame, stages: list[Stage], seed: str | None = N
     return rows.withColumn("_c", told).select(F.lit(name).alias("detector"), "path", "idx", "uuid", "text", "trigger_idx", "_c.confidence", "_c.reasons")
 
 
+def prepared(turned: DataFrame) -> DataFrame:
+    """Events with `before_assistant`, `next_user`, `last_edit` and `follow`, the next real user message's text strictly behind each."""
+    if "follow" in turned.columns:
+        return turned
+    real = F.when((F.col("kind") == "user") & ~F.col("is_meta") & ~markers.is_blank(F.col("text")) & ~markers.is_interrupt(F.col("text")) & ~markers.is_noise(F.col("text")), F.col("text"))
+    near = session.last_edit_within(session.nearest(turned))
+    return near.withColumn("follow", F.first(real, True).over(session.in_order().rowsBetween(1, Window.unboundedFollowing)))
+
+
 def messages(turned: DataFrame, stages: list[Stage] = USER_MESSAGE) -> DataFrame:
     """Every user text that is not blank and not a bare interruption, with the assistant's event before it."""
-    near = session.nearest(turned)
-    said = near.where((F.col("kind") == "user") & ~markers.is_blank(F.col("text")) & ~markers.is_bare_interrupt(F.col("text")))
+    said = prepared(turned).where((F.col("kind") == "user") & ~markers.is_blank(F.col("text")) & ~markers.is_bare_interrupt(F.col("text")))
     return _found("message", said.withColumn("trigger_idx", F.col("before_assistant")), stages)
 
 
-def _followed(turned: DataFrame) -> DataFrame:
-    """`follow`: the next real user message's text strictly behind each event."""
-    real = F.when((F.col("kind") == "user") & ~F.col("is_meta") & ~markers.is_blank(F.col("text")) & ~markers.is_interrupt(F.col("text")) & ~markers.is_noise(F.col("text")), F.col("text"))
-    return turned.withColumn("follow", F.first(real, True).over(session.in_order().rowsBetween(1, Window.unboundedFollowing)))
-
-
 def denials(turned: DataFrame, plan: bool = False, stages: list[Stage] = CALIBRATED) -> DataFrame:
     """Results that the user rejected; the text is what the result says the user said, else the next real message.
 
     With `plan`, only those of plan tools that hold the user's text; else those of other tools.
     """
-    rejected = _followed(turned).select("path", "idx", "uuid", "follow", F.explode("results").alias("r")).where(F.col("r.denial_kind") == markers.USER_REJECTED)
+    rejected = prepared(turned).select("path", "idx", "uuid", "follow", F.explode("results").alias("r")).where(F.col("r.denial_kind") == markers.USER_REJECTED)
     used = turned.select("path", F.col("idx").alias("trigger_idx"), F.explode("calls").alias("c")).select("path", "trigger_idx", F.col("c.id").alias("call_id"), "c.name")
     used = used.groupBy("path", "call_id").agg(F.max_by(F.struct("trigger_idx", "name"), "trigger_idx").alias("u"))  # the last use of an id
     told = rejected.withColumn("call_id", F.col("r.tool_use_id")).join(used, ["path", "call_id"], "left").withColumn("own", F.nullif(markers.embedded_user_text(F.col("r.content")), F.lit("")))
@@ -90,13 +93,13 @@ def denials(turned: DataFrame, plan: bool = False, stages: list[Stage] = CALIBRA
 
 def interrupts(turned: DataFrame, stages: list[Stage] = CALIBRATED) -> DataFrame:
     """User events that interrupted the agent, with the next real message as the correction."""
-    near = _followed(session.nearest(turned)).where((F.col("kind") == "user") & markers.is_interrupt(F.col("text")) & F.col("follow").isNotNull())
+    near = prepared(turned).where((F.col("kind") == "user") & markers.is_interrupt(F.col("text")) & F.col("follow").isNotNull())
     return _found("interrupt", near.withColumn("text", F.col("follow")).withColumn("trigger_idx", F.col("before_assistant")), stages, "interrupted")
 
 
 def plan_reentries(turned: DataFrame, back: int = 40, stages: list[Stage] = CALIBRATED) -> DataFrame:
     """The user's message behind a switch to plan mode, where an edit lies within the rows before the switch; once per message."""
-    edited = session.last_edit_within(session.nearest(turned), back)
+    edited = prepared(turned) if back == 40 else session.last_edit_within(session.nearest(turned), back)
     switch = edited.where((F.col("kind") == "mode") & (F.col("mode") == "plan") & F.col("last_edit").isNotNull() & F.col("next_user").isNotNull())
     first = switch.groupBy("path", F.col("next_user").alias("idx")).agg(F.min_by("last_edit", "idx").alias("trigger_idx"))
     return _found("plan_reentry", first.join(turned.select("path", "idx", "uuid", "text"), ["path", "idx"]), stages, "plan")
@@ -104,8 +107,8 @@ def plan_reentries(turned: DataFrame, back: int = 40, stages: list[Stage] = CALI
 
 def question_answers(turned: DataFrame, stages: list[Stage] = CALIBRATED) -> DataFrame:
     """Answers to the agent's questions: notes, or else the answer. A plain pick of options is weak, free words are scored."""
-    told = questions.answers(session.nearest(turned).drop("next_user")).withColumn("text", F.coalesce("notes", "answer")).where("text is not null")
-    near = session.nearest(turned).select("path", "idx", F.col("before_assistant").alias("trigger_idx"))
+    told = questions.answers(turned).withColumn("text", F.coalesce("notes", "answer")).where("text is not null")
+    near = prepared(turned).select("path", "idx", F.col("before_assistant").alias("trigger_idx"))
     rows = told.join(near, ["path", "idx"])
     plain = F.col("option_pick") & (F.coalesce("notes", F.lit("")) == "")
     weak = rows.where(plain).select(F.lit("question_answer").alias("detector"), "path", "idx", "uuid", "text", "trigger_idx", F.lit(0.25).alias("confidence"), F.array(F.lit("option_pick")).alias("reasons"))
@@ -122,7 +125,9 @@ REVIEW = {"patterns": [review.ByPattern("path_line", r"(?m)^([\w./-]+\.\w+):([0-
 
 
 def mine(turned: DataFrame, formats: dict | None = None) -> DataFrame:
-    """All detectors' findings, `rank` being the detectors' order."""
-    parts = [messages(turned), denials(turned, plan=True), plan_reentries(turned), denials(turned), interrupts(turned), review_comments(turned, formats), question_answers(turned)]
+    """All detectors' findings, `rank` being the detectors' order. The log is read and sorted once: it is written with what all need."""
+    keep = ("path", "idx", "uuid", "kind", "text", "is_meta", "is_sidechain", "mode", "calls", "results", "payload", "before_assistant", "next_user", "last_edit", "follow")
+    near = written(prepared(turned).select(*keep), "mined")
+    parts = [messages(near), denials(near, plan=True), plan_reentries(near), denials(near), interrupts(near), review_comments(near, formats), question_answers(near)]
     ranked = [p.withColumn("rank", F.lit(k)) for k, p in enumerate(parts)]
     return reduce(DataFrame.unionByName, ranked)

@@ -127,7 +127,7 @@ def scanned(turned: DataFrame, surfaces: tuple[str, ...] = ("typed", "surfaced")
     A result is `surfaced`, or `claude` if a subagent gave it or it lies in a sidechain; a result of an unknown call is
     not read. The trigger of a typed text is the nearest assistant before it.
     """
-    near = session.nearest(turned).where("kind = 'user'")
+    near = (turned if "before_assistant" in turned.columns else session.nearest(turned)).where("kind = 'user'")
     typed = near.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("path", "idx", "uuid", F.lit(-1).alias("at"), "text", F.lit("typed").alias("provenance"), F.col("before_assistant").alias("trigger_idx"))
     used = turned.select("path", "idx", F.posexplode("calls").alias("k", "c")).select("path", F.col("c.id").alias("call_id"), F.struct("idx", "k", F.col("c.name").alias("name")).alias("u"))
     last = used.groupBy("path", "call_id").agg(F.max("u").alias("u")).select("path", "call_id", F.col("u.name").alias("name"))
