@@ -105,10 +105,10 @@ def _sets(width: int, id_type: pa.DataType):
                     held.append((x & np.uint64(CELLS - 1)).astype(np.int64))
             counts += np.bincount(np.concatenate(held), minlength=CELLS)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), none, none], names=["doc_id", "n", "node", "bits", "cell", "count"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), none, none], names=["doc_id", "digest", "n", "node", "bits", "cell", "count"])
         cells = np.flatnonzero(counts)
-        none = [pa.nulls(len(cells), t) for t in (id_type, pa.int64(), pa.binary(), pa.binary())]
-        yield pa.record_batch([*none, pa.array(cells), pa.array(counts[cells])], names=["doc_id", "n", "node", "bits", "cell", "count"])
+        none = [pa.nulls(len(cells), t) for t in (id_type, pa.binary(), pa.int64(), pa.binary(), pa.binary())]
+        yield pa.record_batch([*none, pa.array(cells), pa.array(counts[cells])], names=["doc_id", "digest", "n", "node", "bits", "cell", "count"])
 
     return sets
 
@@ -244,19 +244,18 @@ def _differences(shared, width: int, percent: int):
 _DIFFERENCE = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("of", pa.binary()), ("d", pa.int32()), ("left", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _texts(shared, width: int):
+def _texts(shared):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The text of each node that the filter lets pass, once a task."""
+        """The texts (text, digest) whose digest the filter lets pass, once a task. Texts are not read for that."""
         bits, seen = shared.value, set()
         for batch in batches:
-            take, nodes = [], []
-            for k, x in enumerate(token_sets(batch.column(0), width)):
-                node = name_of(x)
-                if len(x) > 1 and node not in seen and maybe_member(bits, node):
-                    seen.add(node)
+            take = []
+            for k, digest in enumerate(batch.column(1).to_pylist()):
+                if digest is not None and digest not in seen and maybe_member(bits, digest):
+                    seen.add(digest)
                     take.append(k)
-                    nodes.append(node)
-            yield pa.record_batch([pa.array(nodes, pa.binary()), batch.column(0).take(pa.array(take, pa.int64()))], names=["node", "text"])
+            if take:
+                yield batch.take(pa.array(take, pa.int64()))
 
     return texts
 
@@ -268,15 +267,16 @@ class Join:
         if percent < 60:
             raise ValueError("similarities below 0.6 need longer prefixes")
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        self.texts = docs.select("text")
-        named = docs.select("doc_id" if isinstance(docs.schema["doc_id"].dataType, StructType) else F.col("doc_id").cast("long").alias("doc_id"), "text")
+        digest = F.unhex(F.md5("text")).alias("digest")
+        self.texts = docs.select("text", digest)
+        named = docs.select("doc_id" if isinstance(docs.schema["doc_id"].dataType, StructType) else F.col("doc_id").cast("long").alias("doc_id"), "text", digest)
         kind = named.schema["doc_id"].dataType
-        both = written(named.mapInArrow(_sets(words, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n long, node binary, bits binary, cell long, count long"), "sets")
-        self.rows = both.where("node is not null").select("doc_id", "n", "node", "bits")
+        both = written(named.mapInArrow(_sets(words, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, digest binary, n long, node binary, bits binary, cell long, count long"), "sets")
+        self.rows = both.where("node is not null").select("doc_id", "digest", "n", "node", "bits")
         cells = both.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toPandas()  # at most CELLS rows
         self.counts = np.zeros(CELLS, np.int64)
         self.counts[cells["cell"]] = cells["n"]
-        least = self.rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least"))
+        least = self.rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("digest").alias("digest"), F.min("doc_id").alias("least"))
         self.nodes = written(least.withColumn("at", leading_number("node")), "nodes")
 
     def alike(self, nx: str, ny: str):
@@ -289,7 +289,7 @@ class Join:
         The hubs low and high are the least set and the one with the most frequent tokens, which is in the midst of its copies.
         """
         hot = float(HOT * self.counts.mean() + 1000)
-        index = self.texts.mapInArrow(_index(self.spark.sparkContext.broadcast(self.counts), hot, self.words, self.percent), "key long, at long, n int, score float, hot boolean")
+        index = self.texts.select("text").mapInArrow(_index(self.spark.sparkContext.broadcast(self.counts), hot, self.words, self.percent), "key long, at long, n int, score float, hot boolean")
         dealt = index.withColumn("salt", F.when(F.col("hot"), F.pmod("at", F.lit(SALTS))).otherwise(0).cast("int"))
         whole = dealt.repartition("key", "salt").distinct()  # copies in several tasks
         every = Window.partitionBy("key", "salt")
@@ -310,11 +310,11 @@ class Join:
         return near
 
     def sides(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The texts of the nodes of pairs (a, b), as (a, x) and as (b, y)."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        bits = membership(wanted, "node")
-        passed = self.texts.mapInArrow(_texts(self.spark.sparkContext.broadcast(bits), self.words), "node binary, text string")
-        texts = written(passed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "wanted")
+        """A text of each node of pairs (a, b), as (a, x) and as (b, y)."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "digest"), "node")
+        bits = membership(wanted, "digest")
+        passed = self.texts.mapInArrow(_texts(self.spark.sparkContext.broadcast(bits)), "text string, digest binary")
+        texts = written(passed.join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text")), "wanted")
         return tuple(texts.select(F.col("node").alias(p), F.col("text").alias(t)) for p, t in (("a", "x"), ("b", "y")))
 
     def first_pairs(self, entries: DataFrame) -> DataFrame:
