@@ -152,13 +152,17 @@ def call_counts(calls_: DataFrame) -> DataFrame:
     return calls_.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_error"), 1)).alias("failures"), F.count(F.when(F.col("pending"), 1)).alias("pending"), F.sum("latency_ms").alias("ms"), F.max("latency_ms").alias("slowest_ms"))
 
 
+def failed_results(events: DataFrame) -> DataFrame:
+    """path, idx, at, name: failed results with the tool of the last call of their id before them in the file; others are left out."""
+    used = events.select("path", "idx", F.posexplode("calls").alias("k", "c")).select("path", F.struct("idx", "k").alias("use"), F.col("c.id").alias("tool_use_id"), "c.name")
+    failed = events.select("path", "idx", F.posexplode("results").alias("at", "r")).where("r.is_error").select("path", "idx", "at", "r.tool_use_id")
+    seen = failed.join(used, ["path", "tool_use_id"]).where("use.idx < idx")
+    return seen.groupBy("path", "idx", "at").agg(F.max_by("name", "use").alias("name"))
+
+
 def errors_of_earlier_calls(turned: DataFrame) -> DataFrame:
     """name, errors: failed results by their call's tool, where the call came earlier in the session."""
-    used = turned.select("path", "idx", F.explode("calls").alias("c")).select("path", F.col("idx").alias("use_idx"), F.col("c.id").alias("tool_use_id"), "c.name")
-    failed = turned.select("path", "idx", F.posexplode("results").alias("at", "r")).where("r.is_error").select("path", "idx", "at", "r.tool_use_id")
-    seen = failed.join(used, ["path", "tool_use_id"]).where("use_idx < idx")
-    last = seen.groupBy("path", "idx", "at").agg(F.max_by("name", "use_idx").alias("name"))
-    return last.groupBy("name").agg(F.count(F.lit(1)).alias("errors"))
+    return failed_results(turned).groupBy("name").agg(F.count(F.lit(1)).alias("errors"))
 
 
 def nearest(turned: DataFrame) -> DataFrame:
