@@ -21,5 +21,5 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules of queries, which register themselves."""
-    for name in ("log", "events", "text", "review", "sessions", "trees", "feedback", "writing", "ledgers", "streams"):
+    for name in ("log", "events", "text", "review", "sessions", "trees", "feedback", "writing", "asked", "ledgers", "streams"):
         importlib.import_module(f"lorekeep.plans.{name}")
