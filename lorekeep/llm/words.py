@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are processed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Space and \\t \\n \\v \\f \\r separate words; every other byte belongs to one.
 NOT_SPACE = np.ones(256, bool)
