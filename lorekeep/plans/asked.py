@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import sentiment, session, snapshot
 from lorekeep.plans.registry import query
-from lorekeep.plans.sessions import CALLS, OPENS, TURNED, log
+from lorekeep.plans.sessions import CALLS, EV, OPENS, TURNED, lines, log
+from lorekeep.sources.sessions import events, invalid_files
 from lorekeep.tables import table
 
 
@@ -46,3 +47,26 @@ def bucket_scores(spark, d):
     words = sentiment.polarities(spark.createDataFrame([("le", 3), ("der", 4), ("de", 3), ("und", 1), ("les", -3)], "word string, score int"))
     stages = [sentiment.Frustration(r"(?i)\b(la|the)\b", 1), sentiment.PositiveClamp(5, 3, 12)]
     return sentiment.scored(texts, words, F.when(F.col("key") % 2 == 0, 5).otherwise(2), stages).select("key", "score")
+
+
+def broken_lines(spark, d):
+    """The conversations' transcripts with further lines: no id (every seventh file), no JSON and no object (every fifth), an unknown kind, repeated keys."""
+    base = lines(spark, d)
+    conv = F.substring("path", 2, 20).cast("long")
+    files = base.select("path", conv.alias("c")).distinct()
+    more = [(1000, '{"type":"user","sessionId":"s","timestamp":"2024-01-01T00:00:00Z","message":{"content":"x"}}', F.col("c") % 7 == 0), (1001, "{broken", F.col("c") % 5 == 1), (1002, "[1]", F.col("c") % 5 == 1), (1003, "  ", F.lit(True)), (1004, '{"type":"odd","k":[1]}', F.col("c") % 11 == 2), (1005, '{"type":"mode","mode":"a","mode":"plan"}', F.col("c") % 3 == 0)]
+    out = base
+    for idx, line, when in more:
+        out = out.unionByName(files.where(when).select("path", F.lit(idx).alias("idx"), F.lit(line).alias("line")))
+    return out
+
+
+@query(f"WITH {EV} SELECT path, kind, count(*) AS n FROM (SELECT path, kind FROM ev WHERE conv_id % 7 <> 0 UNION ALL SELECT DISTINCT path, 'other' FROM ev WHERE conv_id % 7 <> 0 AND conv_id % 11 = 2 UNION ALL SELECT DISTINCT path, 'mode' FROM ev WHERE conv_id % 7 <> 0 AND conv_id % 3 = 0) GROUP BY ALL")
+def broken_files(spark, d):
+    """Lines that are no object are skipped, unknown kinds stay, and a record without an id takes its whole file away."""
+    return events(broken_lines(spark, d)).groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV} SELECT DISTINCT path, 1000 AS idx, 'no uuid, session or time' AS problem FROM ev WHERE conv_id % 7 = 0")
+def named_invalid_files(spark, d):
+    return invalid_files(broken_lines(spark, d))
