@@ -410,5 +410,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     row = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
     classes = components(docs.select(row.alias("doc_id"), "text"), words, percent)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    mark = "row"
+    while mark in (c.lower() for c in docs.columns):
+        mark += "_"
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.withColumn(mark, row).join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
