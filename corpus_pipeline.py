@@ -30,7 +30,8 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced; n_chars follows the new text."""
-    swapped = feistel.pseudonymise(docs, pii_key())
+    own = {c: f"{c}_of_documents" for c in docs.columns if c.lower() == "n_values"}  # the operator's count has this name
+    swapped = feistel.pseudonymise(docs.withColumnsRenamed(own), pii_key()).drop("n_values").withColumnsRenamed({v: c for c, v in own.items()})
     return swapped.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
