@@ -5,6 +5,8 @@ Every stage takes (spark, docs, sf_dir) and returns a table that is written befo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ from lorekeep.llm.store import written
 from lorekeep.tables import table
 
 
+def beside(docs: DataFrame, names: tuple[str, ...], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents' columns behind an operator that adds columns of these names, which documents may have as well."""
+    own = {c: f"{c}_of_documents" for c in docs.columns if c.lower() in names}
+    return operator(docs.withColumnsRenamed(own)).drop(*names).withColumnsRenamed({v: c for c, v in own.items()}).select(*docs.columns)
+
+
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model accepts; every row is judged by its own text."""
     return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -30,14 +38,13 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values replaced; n_chars follows the new text."""
-    own = {c: f"{c}_of_documents" for c in docs.columns if c.lower() == "n_values"}  # the operator's count has this name
-    swapped = feistel.pseudonymise(docs.withColumnsRenamed(own), pii_key()).drop("n_values").withColumnsRenamed({v: c for c, v in own.items()})
-    return swapped.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast("long")).select(*docs.columns)
+    swapped = beside(docs, ("n_values",), lambda d: feistel.pseudonymise(d, pii_key()))
+    return swapped.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate gives, in random order."""
-    return mixing.mix(docs, mixing.EQUAL).select(*docs.columns)
+    return beside(docs, ("copy", "place"), lambda d: mixing.mix(d, mixing.EQUAL))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
