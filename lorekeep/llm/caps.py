@@ -150,7 +150,7 @@ def near_copies(vectors: DataFrame, limit: float = 0.93) -> DataFrame:
     Equal vectors of a label are one, with its number of copies. Null labels and unusable vectors (null, zero,
     null or non-finite components) have no links and are their own component, as are rows without an id.
     vec_id should be unique; rows that repeat an id with an equal vector count as copies. Vectors of unequal
-    length never link. An empty table gives no rows.
+    length never link. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))

@@ -288,7 +288,12 @@ def _states(scores: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def identify(docs: DataFrame, model: Field) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; `und` with score 0 for texts that are null or have no letter."""
+    """doc_id, held_out, lang_pred, score of every row; `und` with score 0 for texts that are null or have no letter.
+
+    Very long texts are read whole, all letters of a word included; repeated rows come as often as they are, with one
+    prediction; of equally likely languages the first of the model's is taken. Columns of docs other than doc_id and
+    text are not read, whatever their names. An empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS * FULL weights up to 4096 languages, and then 1024 and as many as there are languages for each
 

@@ -307,7 +307,7 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, column: str = "text"
 
     The key is LOREKEEP_PII_KEY of the driver's environment unless given; there is no default, as whoever has the
     key can invert every pseudonym. Null and empty texts stay, all other columns too, but an `n_values` of docs
-    gives way to this one; equal rows get equal results.
+    gives way to this one; equal rows get equal results. Very long texts are read whole. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     key = key or os.environ.get("LOREKEEP_PII_KEY", "").encode()

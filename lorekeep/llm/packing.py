@@ -145,6 +145,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 2, v
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated documents are packed as often as they come; null
-    ids are kept. An empty table gives no rows.
+    ids are kept. Very long texts are encoded whole and cut into pieces of the capacity. Columns other than doc_id and
+    text are not read, whatever their names. An empty table gives no rows.
     """
     return pack(written(cut_pieces(docs, capacity, end_id, vocabulary), "pieces"), capacity)

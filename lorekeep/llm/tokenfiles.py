@@ -126,7 +126,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str |
     Rows are dealt by ranges of the id, so shard k holds smaller ids than shard k + 1, and each shard is
     sorted. Null ids come first, repeated ids lie side by side, null texts are just the end id. An attempt
     of a task writes under a name of its own and only finished attempts are in the manifest (shard, path,
-    n_docs, n_tokens), which is itself a written table. `dtype` must hold every id of the vocabulary.
+    n_docs, n_tokens), which is itself a written table. `dtype` must hold every id of the vocabulary. Very long texts
+    are encoded whole; other columns are not read, whatever their names; an empty table gives an empty manifest.
     """
     prepare(docs.sparkSession)
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -175,5 +176,9 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
-    """Write the token files of all documents to the shared folder and read their documents back."""
+    """Write the token files of all documents to the shared folder and read their documents back.
+
+    Rows that repeat an id are documents of their own, null ids come first, null texts are the end id alone, very long
+    texts are encoded whole. Columns other than doc_id and text are not read. An empty table gives no rows.
+    """
     return read_tokens(write_tokens(docs, shared_dir(docs.sparkSession, "tokens"), **options))

@@ -104,7 +104,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from the labelled documents; without any label every score is 0."""
+    """Learn from the labelled documents; without any label every score is 0.
+
+    Labels of one class alone give a model that scores every row as well. Very long texts are learned whole; null texts
+    and labels teach nothing. Columns other than doc_id, text and toxic are not read. An empty table is like no label.
+    """
     spark = docs.sparkSession
     prepare(spark)
     taken = written(sample(docs, labels, rows), "toxicity-sample")
@@ -237,7 +241,8 @@ def _scored(docs: DataFrame, models: list[Model], key: str, margins: tuple[float
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs, in any order.
 
-    Null and empty texts get the score of a mean of 0; repeated rows come as often as they are.
+    Null and empty texts get the score of a mean of 0; repeated rows come as often as they are. Very long texts are
+    scored whole. Columns other than doc_id and text are not read, whatever their names. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     slope, intercept = model.scale

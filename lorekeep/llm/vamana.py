@@ -191,7 +191,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Unusable vectors (null, zero, null or non-finite components) take no part, nor do null ids. Vectors of
     another length than the query's are no candidates. Equal scores rank by vec_id. Rows that repeat an id are
     rows of their own: each is a candidate, and as queries they are one if their vectors are equal. A query with
-    fewer than k candidates gets all that are reached, which is all of them where shards are small.
+    fewer than k candidates gets all that are reached, which is all of them where shards are small. Other columns are not read, whatever their names. An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
