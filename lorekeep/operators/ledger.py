@@ -101,3 +101,52 @@ def alike_keys(vectors: DataFrame, key: str, vector: str, limit: float) -> DataF
     means = each.withColumn("u", F.try_divide("m", F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key)))))  # null for a zero mean
     a, b = means.select("i", F.col(key).alias("a"), F.col("u").alias("x")), means.select("i", F.col(key).alias("b"), F.col("u").alias("y"))
     return a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("similarity")).where(F.col("similarity") > limit)
+
+
+#: A ledger of corrections: what an agent wrote, and who said otherwise.
+CORRECTIONS = "id long, ts_ms long, session_id string, anchor_uuid string, repo string, incorrect_digest string, text string"
+
+
+def same_schema(rows: DataFrame, wanted: str) -> DataFrame:
+    """The rows if their columns are those of a schema, in name, type and order; else an error that names what differs."""
+    from pyspark.sql.types import StructType
+
+    have, want = [(f.name, f.dataType.simpleString()) for f in rows.schema], [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(wanted)]
+    if have != want:
+        raise ValueError(f"the ledger has {sorted({*have} - {*want})} where {sorted({*want} - {*have})} is wanted, or another order")
+    return rows
+
+
+def selected(ledger: DataFrame, session: str | None = None, repo: str | None = None, since: int | None = None, between: tuple[int, int] | None = None, anchor: tuple[str, str] | None = None, digest: str | None = None) -> DataFrame:
+    """Rows of a ledger of corrections by its session, the name in its repository's JSON, times, anchor (session, uuid) and digest.
+
+    `since` is strictly after, `between` includes both ends. Unknown values match nothing.
+    """
+    tests = [
+        (session, lambda: F.col("session_id") == session), (repo, lambda: F.get_json_object("repo", "$.name") == repo), (since, lambda: F.col("ts_ms") > since), (between, lambda: F.col("ts_ms").between(*between)),
+        (anchor, lambda: (F.col("session_id") == anchor[0]) & (F.col("anchor_uuid") == anchor[1])), (digest, lambda: F.col("incorrect_digest") == digest),
+    ]
+    for given, test in tests:
+        if given is not None:
+            ledger = ledger.where(test())
+    return ledger
+
+
+def paged(rows: DataFrame, limit: int, offset: int = 0, newest: bool = False) -> DataFrame:
+    """Rows in the order of ts_ms and id, or the newest first, from an offset on."""
+    order = [F.desc("ts_ms"), F.desc("id")] if newest else ["ts_ms", "id"]
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def with_decisions(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Corrections with the decisions (decision_id, tool_digest, verdict) on the same tool call."""
+    return ledger.join(decisions.select("decision_id", F.col("tool_digest").alias("incorrect_digest"), "verdict"), "incorrect_digest")
+
+
+def record_files(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """The table of files (path, mtime) with newly seen ones put in; a path's new time replaces its old one."""
+    return upsert(files.select("path", "mtime"), seen.groupBy("path").agg(F.max("mtime").alias("mtime")), ["path"])
+
+
+def counts_by(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

@@ -117,3 +117,24 @@ def last_cumulative(spark, d):
     """The last row that counts, and how many do."""
     good = F.col("event_type") != "error"
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.when(good, F.struct("ts", "event_id"))).alias("last_good"), F.count(F.when(good, 1)).alias("n"))
+
+
+def corrections(spark, d):
+    """Orders as a ledger of corrections."""
+    k = F.col("o_orderkey")
+    text = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    rows = table(spark, d, "orders").select(k.cast("long").alias("id"), (k * 37 % 100_000).cast("long").alias("ts_ms"), text("s", k % 11).alias("session_id"), text("u", k % 5).alias("anchor_uuid"), F.concat(F.lit('{"name":"r'), (k % 3).cast("string"), F.lit('"}')).alias("repo"), text("d", k % 97).alias("incorrect_digest"), F.lit("x").alias("text"))
+    return ledger.same_schema(rows, ledger.CORRECTIONS)
+
+
+@query("SELECT o_orderkey AS id, o_orderkey * 37 % 100000 AS ts_ms FROM orders WHERE o_orderkey % 11 = 7 AND o_orderkey % 3 = 1 AND o_orderkey * 37 % 100000 > 20000 ORDER BY 2, 1 LIMIT 20 OFFSET 5")
+def ledger_page(spark, d):
+    """A page of one session's corrections in one repository behind a time."""
+    return ledger.paged(ledger.selected(corrections(spark, d), session="s7", repo="r1", since=20_000), 20, 5).select("id", "ts_ms")
+
+
+@query("SELECT o.o_orderkey AS id, s.s_suppkey AS decision_id FROM orders o JOIN supplier s ON s.s_suppkey % 97 = o.o_orderkey % 97 WHERE o.o_orderkey * 37 % 100000 BETWEEN 500 AND 2500 AND o.o_orderkey % 11 = 3")
+def ledger_decisions(spark, d):
+    """Corrections of a span of time, both ends included, with decisions on the same digest."""
+    made = table(spark, d, "supplier").select(F.col("s_suppkey").alias("decision_id"), F.concat(F.lit("d"), (F.col("s_suppkey") % 97).cast("string")).alias("tool_digest"), F.lit("no").alias("verdict"))
+    return ledger.with_decisions(ledger.selected(corrections(spark, d), session="s3", between=(500, 2500)), made).select("id", "decision_id")
