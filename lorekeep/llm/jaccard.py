@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from lorekeep.llm.graph import connected
-from lorekeep.llm.store import discard, leading_number, maybe_member, membership, prepare, written
+from lorekeep.llm.store import discard, leading_number, let_go, maybe_member, membership, prepare, written
 from lorekeep.llm.words import NOT_SPACE, mix, pieces
 
 #: Tokens are counted in so many cells; the order of tokens may be any, as long as it is one for all.
@@ -92,6 +92,7 @@ def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
 def _sets(width: int, id_type: pa.DataType):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each document, and then the task's token counts by cell, where each set counts once."""
+        let_go()
         counts, seen = np.zeros(CELLS, np.int64), set()
         for batch in batches:
             n, nodes, bits, held = [], [], [], [np.zeros(0, np.int64)]
@@ -138,6 +139,7 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 def _index(shared, hot: float, width: int, percent: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts, seen = shared.value, set()
         for batch in batches:
             keys, at, n, score = [], [], [], []
@@ -161,6 +163,7 @@ def _index(shared, hot: float, width: int, percent: int):
 def _combined(percent: int):
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of each set's frequent tokens that lie in one subclass, for its own size class and the next."""
+        let_go()
         for batch in batches:
             for at, n, of, score, row in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
                 keys, out = np.unique(row.values.to_numpy(zero_copy_only=False).view(np.uint64)), []
@@ -180,6 +183,7 @@ def _combined(percent: int):
 
 def _possible(percent: int):
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keep = []
             for x, y, nx, ny in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny"))):
@@ -192,6 +196,7 @@ def _possible(percent: int):
 
 def _verify(width: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             keep = []
             for x, y in zip(token_sets(batch.column("x"), width), token_sets(batch.column("y"), width)):
@@ -224,6 +229,7 @@ def differences(x: np.ndarray, hub: np.ndarray, counts: np.ndarray, percent: int
 def _differences(shared, width: int, percent: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of the index of differences, and a row with both names for each set that is similar to its hub."""
+        let_go()
         counts = shared.value
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("at", "n", "of", "hub", "a", "b")]
@@ -247,6 +253,7 @@ _DIFFERENCE = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32
 def _texts(shared):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts (text, digest) whose digest the filter lets pass, once a task. Texts are not read for that."""
+        let_go()
         bits, seen = shared.value, set()
         for batch in batches:
             take = []

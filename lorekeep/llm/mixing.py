@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm.store import driver_table
+
 #: Every source gets the same share.
 EQUAL: dict[str, float] = {}
 #: Sources up to this count are broadcast with their rates; more are joined by shuffle.
@@ -78,7 +80,7 @@ def replicate(docs: DataFrame, weights: dict[str, float], size: float | None = N
     rows = found.limit(BROADCAST_SOURCES + 1).collect()
     few = len(rows) <= BROADCAST_SOURCES
     if few:
-        found = spark.createDataFrame([tuple(r) for r in rows], found.schema)
+        found = driver_table(spark, [tuple(r) for r in rows], found.schema)
     large = any(r._rate > PART for r in rows) if few else not found.where(F.col("_rate") > PART).isEmpty()
     n = poisson(F.col("_rate"), uniform(F.lit(seed), F.col("doc_id")))
 

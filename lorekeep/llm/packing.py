@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.store import prepare, written
+from lorekeep.llm.store import driver_table, prepare, written
 from lorekeep.llm.tokens import encoder
 
 CAPACITY = 1024
@@ -130,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     firsts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     totals = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_bins(totals, capacity)
-    plan = F.broadcast(spark.createDataFrame(runs, PLAN).withColumnRenamed("length", "of"))
+    plan = F.broadcast(driver_table(spark, runs, PLAN).withColumnRenamed("length", "of"))
     ranked = pieces.join(firsts, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before")
     placed = ranked.join(plan, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     within = F.col("rank") - F.col("low")

@@ -6,13 +6,18 @@ the master is local, as in tests, a folder of this machine is used; on a cluster
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Arrow batches to Python are held small, so that a batch of long texts fits into a worker.
 BATCH_ROWS, BATCH_BYTES = "4000", "8m"
@@ -59,6 +64,36 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def driver_table(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
+    """A small table of the driver's rows, sent as Arrow.
+
+    Spark turns pickled rows into its own by Python workers of another kind than SQL's, which executors then keep as well.
+    """
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)
+
+
+#: Mappings that tasks fill for later tasks of the same Python worker.
+_kept: list[dict] = []
+
+
+def kept_by_worker(mapping: dict) -> dict:
+    """A mapping that lasts in this worker until a task of another operator lets it go."""
+    _kept.append(mapping)
+    return mapping
+
+
+def let_go() -> None:
+    """Give back what earlier operators' tasks left in this worker, which outlives them; called where a task begins."""
+    for mapping in _kept:
+        mapping.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def partitions_for(df: DataFrame, each: int = 16 << 20) -> int:
     """So many partitions that each gets about `each` bytes of the input as stored, and at least the session's count."""
     spark = df.sparkSession

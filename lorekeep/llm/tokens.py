@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from lorekeep.llm.store import kept_by_worker
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words kept in memory by each worker, and the longest that is kept.
 KNOWN, KNOWN_LENGTH = 300_000, 40
@@ -27,7 +29,7 @@ _WORDS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: A word of Latin letters, and punctuation after it: one pre-token each.
 _PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = kept_by_worker({})
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -127,7 +129,7 @@ class Encoder:
 
 
 def encoder(path: str | None = None, added: bool = False) -> Encoder:
-    """The encoder of this worker; its memory of words lasts from task to task."""
+    """The encoder of this worker; its memory of words lasts from task to task, until one that needs none lets it go."""
     path = path or vocabulary_path()
     if (path, added) not in _encoders:
         _encoders[path, added] = Encoder(path, added)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.store import fold, prepare, written
+from lorekeep.llm.store import driver_table, fold, let_go, prepare, written
 from lorekeep.llm.words import ALNUM, mix, pieces
 
 #: Labelled documents of each class that are learned from, at most; those with the least hash are taken.
@@ -77,6 +77,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         toxic = batch.column(0).to_numpy().astype(np.int64)
         for piece in pieces(batch.column(1), ALNUM):
@@ -98,7 +99,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     known = known.withColumn("part", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).cast("int") - 1).where("part >= 0")
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     picked = [tuple(r) for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(rows).collect()]
-    ids = F.broadcast(spark.createDataFrame(picked, "id long, toxic int, part int"))
+    ids = F.broadcast(driver_table(spark, picked, "id long, toxic int, part int"))
     taken = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id").select("toxic", "part", "text")
     return taken.withColumn("same", F.md5("text")).dropDuplicates(["toxic", "same"]).drop("same")
 
@@ -229,6 +230,7 @@ def _scored(docs: DataFrame, models: list[Model], key: str, margins: tuple[float
     shared = docs.sparkSession.sparkContext.broadcast(models)  # at most KEPT_WORDS and KEPT_BIGRAMS entries each
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             sums, words = _sums(batch.column(1), shared.value, margins)
             n, width = sums.shape
@@ -262,6 +264,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = shared.value
         for batch in batches:
             sums, words = _sums(batch.column("text"), [model])
