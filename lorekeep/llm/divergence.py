@@ -1,31 +1,77 @@
 """How the terms of each source of a language differ from its other sources and from the language as a whole.
 
-Plain relational: regexp matches are exploded and counted, groups are crossed with their language's vocabulary so that
-terms they lack count 0, and the smoothed shares are joined with each other on language and term, summed and ranked.
+Terms are counted by group within Arrow batches and the counts summed by a shuffle; all else is plain relational: groups
+are crossed with their language's vocabulary so that terms they lack count 0, and the smoothed shares are joined with
+each other on language and term, summed and ranked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.store import discard, written
+from lorekeep.llm.store import discard, prepare, written
+from lorekeep.llm.words import ALNUM, LOWER, Piece, pieces
 
-#: A term is a run of ASCII letters and of characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A term is a run of ASCII letters and of characters beyond ASCII: of these bytes.
+TERM = ALNUM.copy()
+TERM[0x30:0x3A] = False
+#: Bytes of text whose terms are counted at once. A longer text is counted part by part.
+PART = 4 << 20
 #: Up to so many (language, source) groups are broadcast, some megabytes; more are joined by shuffles.
 BROADCAST_GROUPS = 50_000
 
 
+def terms_of(piece: Piece) -> pa.DictionaryArray:
+    """Every occurrence of a term in a piece, in order, with A-Z in lower case."""
+    offsets = np.zeros(len(piece.row) + 1, np.int32)
+    np.cumsum(piece.end - piece.start, out=offsets[1:])
+    data = LOWER[piece.buf[TERM[piece.buf]]]
+    return pa.Array.from_buffers(pa.string(), len(piece.row), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, source, term, n, docs of parts of the table (lang, source, text); a term of a group may come several times."""
+    for batch in batches:
+        langs, sources = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+        n_sources, held = len(sources.dictionary), []
+        group = langs.indices.to_numpy().astype(np.int64) * n_sources + sources.indices.to_numpy()
+        groups, group = np.unique(group, return_inverse=True)
+        for piece in pieces(batch.column(2), TERM, PART):
+            terms = terms_of(piece)
+            names, code = terms.dictionary, terms.indices.to_numpy().astype(np.int64)
+            if not piece.last or held:  # a part of one text, in which a term counts for one document
+                held.append(pa.table({"term": names, "n": np.bincount(code, minlength=len(names))}))
+                if not piece.last:
+                    continue
+                whole, held = pa.concat_tables(held).group_by("term").aggregate([("n", "sum")]), []
+                names, n = whole["term"].combine_chunks(), whole["n_sum"].to_numpy()
+                code, of, docs = np.arange(len(names)), np.full(len(names), group[piece.first]), np.ones(len(names), np.int64)
+            else:
+                occurrence = np.sort(code * piece.rows + piece.row)
+                first = np.append(True, np.diff(occurrence) != 0)[: len(occurrence)]  # of its term in its document
+                code, row = np.divmod(occurrence, piece.rows)
+                found = np.sort((code * len(groups) + group[piece.first + row]) * 2 + first)
+                key = found >> 1
+                at = np.flatnonzero(np.append(True, np.diff(key) != 0)[: len(key)])
+                n, docs = np.diff(np.append(at, len(key))), np.add.reduceat(found & 1, at) if len(at) else at
+                code, of = np.divmod(key[at], len(groups))
+            lang, source = np.divmod(groups[of], n_sources)
+            rows = pa.record_batch([langs.dictionary.take(pa.array(lang)), sources.dictionary.take(pa.array(source)), names.take(pa.array(code)), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            for k in range(0, len(rows), 50_000):
+                yield rows.slice(k, 50_000)
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences, and documents that hold the term, of every group; whole texts."""
+    prepare(docs.sparkSession)
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    found = d.select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0)).alias("terms"))
-    # once for every occurrence, and once more for every different term of the document
-    listed = found.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
-    each = listed.select("lang", "source", "once", F.explode("terms").alias("term"))
-    return each.groupBy("lang", "source", "term").agg(F.count(F.when(F.col("once") == 0, 1)).alias("n"), F.sum("once").cast("long").alias("docs"))
+    counted = d.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:

@@ -24,8 +24,9 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+#: ASCII letters in lower case, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 _VALUES = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -76,7 +77,7 @@ class Piece:
         n, to = len(self.buf), self.end if end is None else end
         power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[_LOWER[self.buf]] * power[:n], out=sums[1:])
+        np.cumsum(_VALUES[LOWER[self.buf]] * power[:n], out=sums[1:])
         h = (sums[to] - sums[self.start]) * inverse[self.start]
         return mix(h + (to - self.start).astype(np.uint64))
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import divergence
@@ -68,3 +69,31 @@ def test_shares_hold_counts_beyond_a_long(spark):
     huge = 4 * 10**17
     r = spark.range(1).select(divergence.share(*[__import__("pyspark").sql.functions.lit(v).cast("long") for v in (huge, huge * 3, 1000)]).alias("p")).first()
     assert r.p == 1 + 10**9 * (huge + 5) // (huge * 3 + 5000)
+
+
+def test_texts_longer_than_a_part_and_groups_of_one_batch(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["Ab", "aB", "ß", "Éa", "漢", "x" * 9, "k", "q"])
+    rows = [(rng.choice([" ", "1", "\n", "\x7f", "'"]).join(word() for _ in range(k % 90)), rng.choice(["l", "m"]), rng.choice(["s", "t", None])) for k in range(60)]
+    rows += [(None, "l", "s"), ("", None, None), ("42", "m", "u"), ("y" * 300 + " y", "l", "s"), ("y" * 300, "l", "t")]
+    want = plain(rows, 2, 50)
+    table = pa.table({k: [r[c] or "" for r in rows] for k, c in (("lang", 1), ("source", 2), ("text", 0))})
+    counts = []
+    for part in (16, 64, 1 << 20):
+        monkeypatch.setattr(divergence, "PART", part)
+        total = Counter()
+        for b in divergence._counted(iter(table.to_batches(20))):
+            for r in b.to_pylist():
+                total[r["lang"], r["source"], r["term"], "n"] += r["n"]
+                total[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        counts.append(total)
+    assert counts[0] == counts[1] == counts[2] and counts[0]["l", "t", "y" * 300, "docs"] == 1
+    frame = spark.createDataFrame(rows, "text string, lang string, source string")
+    assert sorted(tuple(r) for r in divergence.audit(frame, 2, 50).collect()) == want
+
+
+def test_occurrences_are_not_exploded(spark):
+    """A term's occurrences are counted before Spark makes rows of them."""
+    frame = spark.createDataFrame([("a b a " * 1000, "l", "s")], "text string, lang string, source string")
+    plan = divergence.term_counts(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
